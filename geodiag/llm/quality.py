@@ -38,10 +38,8 @@ def _repeat_words(words: Column, n: Column) -> Column:
                 at = lambda k: s[k].bitwiseAND(place).cast("int")
                 last = F.size(s) - 1
                 same = lambda i, j: h[at(i)] == h[at(j)]
-                hits = F.filter(
-                    F.transform(s, lambda x, i: F.when(((i > 0) & same(F.greatest(i - 1, F.lit(0)), i)) | ((i < last) & same(i, F.least(i + 1, last))), at(i))),
-                    lambda x: x.isNotNull(),
-                )
+                pairs = F.filter(F.sequence(F.lit(1), last), lambda i: same(i - 1, i))
+                hits = F.flatten(F.transform(pairs, lambda i: F.array(at(i - 1), at(i))))
                 return _let(hits, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda x: x + 1), F.transform(p, lambda x: x + 2)))))
 
             return _let(packed, doubled)
@@ -65,7 +63,7 @@ def measure(docs: DataFrame) -> DataFrame:
         n = F.size(words)
         return F.struct(n.cast("long").alias("n_words"), _repeat_words(words, n).alias("n_repeat_words"))
 
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.withColumn(
         "m",
         _let(
