@@ -1,8 +1,10 @@
 """The operators' queries and SQL."""
 
-from geodiag.llm import chat, licenses, mixing, quality, warc
+from geodiag.llm import chat, embeddings, licenses, minhash, mixing, quality, warc
 
 QUERIES = {
+    "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+    "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_license_scan": licenses.op7_license_scan,
@@ -11,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_embedding_dedup": embeddings.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
