@@ -1,8 +1,9 @@
 """The operators' queries and SQL."""
 
-from geodiag.llm import chat, embeddings, licenses, minhash, mixing, quality, warc
+from geodiag.llm import chat, embeddings, licenses, minhash, mixing, quality, substrings, warc
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
