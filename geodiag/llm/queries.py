@@ -1,8 +1,9 @@
 """The operators' queries and SQL."""
 
-from geodiag.llm import chat, embeddings, licenses, minhash, mixing, quality, sampling, substrings, warc
+from geodiag.llm import chat, embeddings, licenses, minhash, mixing, quality, sampling, scoring, substrings, warc
 
 QUERIES = {
+    "op2_lm_scoring": scoring.op2_lm_scoring,
     "op9_sentencepiece": sampling.op9_sentencepiece,
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,

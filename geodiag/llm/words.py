@@ -38,10 +38,11 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
-    col = pc.fill_null(col, "")
+    if col.null_count:
+        col = pc.fill_null(col, "")
     if len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     _, offs, data = col.buffers()
     off = np.frombuffer(offs, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
