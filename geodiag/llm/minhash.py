@@ -22,9 +22,20 @@ from geodiag.llm.components import connected_components
 from geodiag.llm.words import CHUNK, SPACED, U64, chunks, hash_spans, mix, shingles, text_buffer, word_spans
 from geodiag.runtime import discard, materialize, ship
 
-BINS = 128
-BANDS, ROWS = 25, 5
-_SHIFT = U64(64 - 7)
+BINS = 256
+_SHIFT = U64(64 - 8)
+#: chance to miss a pair at the threshold itself
+MISS = 1e-5
+
+
+def plan_bands(percent: int) -> tuple[int, int]:
+    """Bands and rows that use the bins: the most rows, so the fewest chance meets, with which no more than :data:`MISS` is missed."""
+    s = percent / 100
+    for rows in range(16, 1, -1):
+        bands = BINS // rows
+        if (1 - s**rows) ** bands <= MISS:
+            return bands, rows
+    return BINS, 1
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +58,7 @@ def densify(sig: np.ndarray, full: np.ndarray) -> np.ndarray:
     while len(rows):
         probe = (mix(cols.astype(U64) * U64(0x100000001B3) + U64(attempt)) >> _SHIFT).astype(np.int64) % bins
         hit = full[rows, probe]
-        out[rows[hit], cols[hit]] = mix(sig[rows[hit], probe[hit]] + U64(attempt) * U64(0xA24BAED4963EE407))
+        out[rows[hit], cols[hit]] = mix(sig[rows[hit], probe[hit]] + U64(attempt * 0xA24BAED4963EE407 % 2**64))
         rows, cols, attempt = rows[~hit], cols[~hit], attempt + 1
     return out
 
@@ -75,7 +86,7 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
-def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, keys``: the two set hashes tell equal sets."""
     ship(docs.sparkSession)
 
@@ -110,7 +121,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(collect, "doc_id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id, kept``.
 
     Texts are linked if 100 * intersection >= percent * union of their sets of distinct
@@ -119,6 +130,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     row kept; of rows with one doc_id all or none are kept. A null doc_id is linked with
     nothing and kept. An empty table gives an empty result; other columns are ignored.
     """
+    bands, rows = plan_bands(percent)
     signed = materialize(signatures(docs, k, bands, rows), "signatures")
     same = ["n_shingles", "set_a", "set_b"]
     real = signed.where("n_shingles > 0 and doc_id is not null")
@@ -131,7 +143,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     degree = members.groupBy("rep").agg(F.sum("fellows").alias("degree"))
     members_d = materialize(members.join(degree, "rep").select("key", "rep", "n", "degree"), "members")
     discard(members)
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(members_d.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # merged at every size: which documents are asked for grows with the corpus
+    asked = members_d.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    sets = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id", "left_semi")
     sets = materialize(full_sets(sets, k), "sets")
     links = _star_links(members_d, sets, percent)
     # documents of one set are one class: its smallest doc_id stands for it
@@ -145,11 +159,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, merge: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. ``merge``: pairs are many, so they aren't broadcast."""
     sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.distinct().join(sa, "a").join(sb, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    joined = pairs.distinct().join(sa.hint("merge") if merge else sa, "a").join(sb.hint("merge") if merge else sb, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
     return joined.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
@@ -161,7 +175,7 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         return rows.join(centres, "key").where(apart & near(F.col("n"), F.col("c.n"))).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
 
     top = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "rep", "n")).alias("c"))
-    links = materialize(_confirmed(star(members, top, F.col("rep") != F.col("c.rep")), sets, percent), "links")
+    links = materialize(_confirmed(star(members, top, F.col("rep") != F.col("c.rep")), sets, percent, merge=True), "links")
     turn = 0
     while not links.isEmpty():
         turn += 1
