@@ -150,14 +150,14 @@ def cylindrical_equal_area(ellipsoid, lat_ts, lon0):
 
 
 def mollweide(a: float, lon0: float = 0.0):
-    """The parametric angle by a fixed number of Newton steps."""
+    """The parametric angle by a fixed number of Newton steps, enough for the poles, where each halves the error."""
 
     def f_(lon, lat):
         phi = _rad(lat)
         target = math.pi * F.sin(phi)
         t = phi
         step = lambda u, _: u - F.when(1 + F.cos(u) > 1e-12, (u + F.sin(u) - target) / (1 + F.cos(u))).otherwise(0.0)
-        t = F.aggregate(F.sequence(F.lit(1), F.lit(12)), t, step)
+        t = F.aggregate(F.sequence(F.lit(1), F.lit(40)), t, step)
         t = t / 2
         return a * (2 * math.sqrt(2) / math.pi) * _rad(lon - lon0) * F.cos(t), a * math.sqrt(2) * F.sin(t)
 

@@ -185,6 +185,8 @@ def schema_validate(ctx):
 
 @rule("data/self-intersection", "Self Intersection", "data_quality", "error", 0.9, ("topology", "geometry"))
 def self_intersection(ctx):
+    if not has_polygons(ctx):
+        return no_findings(ctx)
     polys = ctx.features.where(g.is_polygonal(F.col("geom")))
     short = polys.where(g.longest_ring(F.col("geom")) <= g.LONG_RING).where(g.self_intersects(F.col("geom")))
     long = polys.where(g.longest_ring(F.col("geom")) > g.LONG_RING).where(_long_rings_cross()(g.rings(F.col("geom"))))
@@ -231,6 +233,11 @@ def ring_crosses(ring: list[tuple[float, float]]) -> bool:
 # --- polygon pairs
 
 
+def has_polygons(ctx: CheckContext) -> bool:
+    """Whether any feature is polygonal: decides, at the cost of one short scan, if plans over rings and pairs are built at all."""
+    return ctx.shared("polygonal", lambda: not ctx.features.where(g.is_polygonal(F.col("geom"))).select("layer_idx").isEmpty())
+
+
 def polygon_cells(ctx: CheckContext, grow: float = 0.0) -> DataFrame:
     """Polygons dealt to grid cells of about their typical size; one row for each cell that the box touches.
 
@@ -295,6 +302,8 @@ def overlapping_pairs(ctx: CheckContext) -> DataFrame:
 
 @rule("data/topology-overlaps", "Topology Overlaps", "data_quality", "warning", 0.7, ("topology",), can_fix=True)
 def topology_overlaps(ctx):
+    if not has_polygons(ctx):
+        return no_findings(ctx)
     d = _named(ctx, overlapping_pairs(ctx).select("layer_idx", "feat_idx_a", "feat_idx_b", "label_a", "label_b", "geom_a"))
     message = _text("Features ", F.col("label_a"), " and ", F.col("label_b"), " overlap in layer '", F.col("layer"), "'")
     return findings(d, "data/topology-overlaps", "warning", message, at_feature(F.col("label_a")), "Edit the polygons so that they share an edge and don't overlap", geom=F.col("geom_a"), fixable=True, feat=F.col("feat_idx_a"), sub=F.format_string("%012d", F.col("feat_idx_b")))
@@ -318,11 +327,15 @@ def boundary_gaps(ctx: CheckContext, tolerance: float) -> DataFrame:
         return F.array_min(F.transform(u, lambda a: F.array_min(F.transform(v, lambda s: distance(a["p"], s)))))
 
     gap = F.least(least(F.col("s_a"), F.col("s_b")), least(F.col("s_b"), F.col("s_a")))
-    return near.withColumn("gap", gap).where((F.col("gap") > 0) & (F.col("gap") <= tolerance)).where(~overlap())
+    # one evaluation of the distance for each pair: a filter on a computed column would repeat it
+    close = near.withColumn("gap", F.explode(F.filter(F.array(gap), lambda x: (x > 0) & (x <= tolerance))))
+    return close.where(~overlap())
 
 
 @rule("data/topology-gaps", "Topology Gaps", "data_quality", "warning", 0.7, ("topology",), can_fix=True)
 def topology_gaps(ctx):
+    if not has_polygons(ctx):
+        return no_findings(ctx)
     d = _named(ctx, boundary_gaps(ctx, ctx.config.check.topology_gap_tolerance))
     message = _text("Gap between features ", F.col("label_a"), " and ", F.col("label_b"), " in layer '", F.col("layer"), "'")
     return findings(d, "data/topology-gaps", "warning", message, at_feature(F.col("label_a")), "Snap the polygons' edges to each other", F.col("gap"), F.col("geom_a"), True, F.col("feat_idx_a"), F.format_string("%012d", F.col("feat_idx_b")))

@@ -281,11 +281,11 @@ def fix_dedup(spark, sf_dir):
     return fix.dedup(derived.quads(spark, sf_dir).features).select("layer_idx", "feat_idx")
 
 
-@query(f"with {_POINTS} select layer_idx, feat_idx, round(radians(lon) * 6378137e0, 3) as x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137e0, 3) as y from points")
+@query(f"with {_POINTS} select layer_idx, feat_idx, round(radians(lon) * 6378137e0, 3) + 0e0 as x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137e0, 3) + 0e0 as y from points")
 def fix_reproject(spark, sf_dir):
     moved = fix.reproject(derived.points(spark, sf_dir).features, "EPSG:4326", "EPSG:3857")
     p = F.col("geom.parts")[0]["rings"][0][0]
-    return moved.select("layer_idx", "feat_idx", F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"))
+    return moved.select("layer_idx", "feat_idx", (F.round(p["x"], 3) + 0.0).alias("x"), (F.round(p["y"], 3) + 0.0).alias("y"))
 
 
 def _pair(spark, sf_dir):
@@ -310,10 +310,11 @@ def diff_changes(spark, sf_dir):
     return compare.changes(compare.compare(*_pair(spark, sf_dir)))
 
 
-@query(f"""with {_POINTS}, l as (select coalesce(id, cast(lon as varchar) || ' ' || cast(lat as varchar), '') as k, id is null as bare, count(*) as n from points where feat_idx % 10 <> 0 group by 1, 2), r as (select coalesce(id, cast(lon as varchar) || ' ' || cast(lat as varchar), '') as k, id is null as bare, count(*) as n from points where feat_idx % 7 <> 1 group by 1, 2)
+@query(f"""with {_POINTS}, l as (select coalesce(id, cast(lon as varchar) || ' ' || cast(lat as varchar)) as k, id is null as bare, count(*) as n from points where feat_idx % 10 <> 0 and (id is not null or lon is not null) group by 1, 2), r as (select coalesce(id, cast(lon as varchar) || ' ' || cast(lat as varchar)) as k, id is null as bare, count(*) as n from points where feat_idx % 7 <> 1 and (id is not null or lon is not null) group by 1, 2)
 select change, count(*) as n from (select case when l.n is null then 'added' when r.n is null then 'removed' when l.n <> r.n then 'count' end as change from l full join r on l.k = r.k and l.bare = r.bare) where change is not null group by 1""")
 def diff_features(spark, sf_dir):
-    return compare.feature_changes(*_pair(spark, sf_dir)).where("change <> 'properties'").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    left, right = (Dataset(d.layers, d.features.where("id is not null or geom is not null"), d.path) for d in _pair(spark, sf_dir))
+    return compare.feature_changes(left, right).where("change <> 'properties'").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {_LAYERS}, {_POINTS}, f as (select layer_idx, count(distinct k) as n from (select layer_idx, unnest(json_keys(props)) as k from points) group by 1)

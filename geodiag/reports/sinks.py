@@ -52,12 +52,14 @@ def check_sarif(path: str, findings: list[dict]) -> str:
     }, indent=2, ensure_ascii=False)
 
 
+def _json(c: Column) -> Column:
+    """JSON text of one value."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
 def _feature(geometry: Column, properties: Column, id: Column | None = None) -> Column:
-    own = F.concat(F.lit(',"id":'), F.to_json(F.struct(id.alias("v")))) if id is not None else None
-    head = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), properties)
-    if own is not None:
-        head = F.concat(head, F.when(id.isNotNull(), F.concat(F.lit(',"id":'), F.regexp_extract(F.to_json(F.array(id)), r"^\[(.*)\]$", 1))).otherwise(""))
-    return F.concat(head, F.lit("}"))
+    own = F.lit("") if id is None else F.when(id.isNotNull(), F.concat(F.lit(',"id":'), _json(id))).otherwise("")
+    return F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), properties, own, F.lit("}"))
 
 
 def finding_features(findings: DataFrame) -> DataFrame:
@@ -80,12 +82,11 @@ def heatmap_features(cells: DataFrame) -> DataFrame:
 def layer_features(data) -> DataFrame:
     """A GeoJSON feature of each feature with a geometry; its own properties may replace ``layer`` and ``id``."""
     f = data.features.where("geom is not null").join(data.layers.select("layer_idx", "name"), "layer_idx")
-    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
-    base = F.map_filter(F.create_map(F.lit("layer"), text("name"), F.lit("id"), F.when(F.col("id").isNotNull(), text("id"))), lambda k, v: v.isNotNull())
+    base = F.map_filter(F.create_map(F.lit("layer"), _json(F.col("name")), F.lit("id"), F.when(F.col("id").isNotNull(), _json(F.col("id")))), lambda k, v: v.isNotNull())
     own = F.coalesce("properties", F.create_map().cast("map<string,string>"))
     merged = F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k)), own)
-    pairs = F.transform(F.map_entries(merged), lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"^\[(.*)\]$", 1), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
-    return f.select("layer_idx", "feat_idx", _feature(g.to_geojson(F.col("geom")), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).alias("feature"))
+    pairs = F.transform(F.map_entries(merged), lambda e: F.concat(_json(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
+    return f.select("layer_idx", "feat_idx", _feature(g.to_geojson(F.col("geom")), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), F.col("id")).alias("feature"))
 
 
 def feature_collection(features: DataFrame) -> str:

@@ -58,19 +58,19 @@ def features_of(parsed: DataFrame) -> DataFrame:
 
 
 def read_text(rows: DataFrame, name: str) -> Dataset:
-    """``rows`` with one column ``value``: each a whole document. One layer per row, in order, labelled EPSG:4326.
+    """``rows`` with one column ``value`` and one row, a whole document, as one layer labelled EPSG:4326.
 
     A FeatureCollection, a Feature or a bare geometry; anything else fails.
     """
     spark = rows.sparkSession
-    doc = rows.select(F.monotonically_increasing_id().alias("layer_idx"), "value", F.from_json("value", _DOC, {"mode": "PERMISSIVE"}).alias("d"))
+    doc = rows.select(F.lit(0).alias("layer_idx"), "value", F.from_json("value", _DOC, {"mode": "PERMISSIVE"}).alias("d"))
     kind = F.col("d.type")
     bad = F.concat(F.lit("GeoJSON error: not a FeatureCollection, Feature or geometry: "), F.substring("value", 1, 60))
     none = F.lit(None)
     feature = F.struct(kind.alias("type"), F.col("d.id").alias("id"), F.col("d.geometry").alias("geometry"), F.col("d.properties").alias("properties")).cast(_FEATURE)
     bare = F.struct(F.lit("Feature").alias("type"), none.cast("variant").alias("id"), F.col("value").alias("geometry"), none.cast("map<string,variant>").alias("properties")).cast(_FEATURE)
     all_ = F.when(kind == "FeatureCollection", F.coalesce("d.features", F.array().cast(f"array<{_FEATURE}>"))).when(kind == "Feature", F.array(feature)).when(kind.isin(*_SINGLE, "GeometryCollection"), F.array(bare)).otherwise(F.raise_error(bad).cast(f"array<{_FEATURE}>"))
-    flat = doc.select(F.col("layer_idx").cast("int").alias("layer_idx"), F.posexplode(all_).alias("i", "f")).select("layer_idx", F.col("i").cast("long").alias("feat_idx"), "f")
+    flat = doc.select("layer_idx", F.posexplode(all_).alias("i", "f")).select("layer_idx", F.col("i").cast("long").alias("feat_idx"), "f")
     features = features_of(flat)
     layers = spark.range(1).select(F.lit(0).alias("layer_idx"), F.lit(name).alias("name"), F.lit("EPSG:4326").alias("crs"))
     return Dataset(compute_layers(features, layers), features, name)
