@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -10,11 +12,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CLEARED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = own.get()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="geodiag-")
         spark.sparkContext.setCheckpointDir(root)
@@ -22,8 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/geodiag/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application that goes when its driver ends."""
+    root = f"{shared_dir(spark)}/geodiag/{spark.sparkContext.applicationId}"
+    if root not in _CLEARED:
+        _CLEARED.add(root)
+        atexit.register(_clear, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+def _clear(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -39,9 +58,7 @@ def discard(df: DataFrame | None) -> None:
     """Delete a table of :func:`materialize` that no later plan reads."""
     path = getattr(df, "_scratch", None)
     if path:
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
