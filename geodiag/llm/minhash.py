@@ -206,3 +206,16 @@ def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, ws[i:i + 2] as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as label from documents union select e.b, r.label from r join e on r.node = e.a),
+k as (select node, min(label) as component from r group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, k.component as component_id, k.component = d.doc_id as kept
+from documents d join k on d.doc_id = k.node left join n on d.doc_id = n.doc_id
+"""

@@ -3,21 +3,23 @@
 from geodiag.llm import chat, embeddings, licenses, minhash, mixing, quality, sampling, scoring, substrings, warc
 
 QUERIES = {
-    "op2_lm_scoring": scoring.op2_lm_scoring,
-    "op9_sentencepiece": sampling.op9_sentencepiece,
     "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_lm_scoring": scoring.op2_lm_scoring,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
-    "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_sentencepiece": sampling.op9_sentencepiece,
     "op10_warc": warc.op10_warc,
 }
 
+#: the others have no form in SQL: lattices, chains and sampled pieces; they're tested against brute force
 SQL = {
     "op3_embedding_dedup": embeddings.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op5_minhash_dedup": minhash.OP5_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
