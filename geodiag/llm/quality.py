@@ -88,7 +88,7 @@ def failures(m: Column) -> Column:
         n < 50,
         100 * m["n_repeat_words"] > 50 * n,
         10 * m["n_symbols"] > n,
-        10 * m["n_dup_lines"] > 3 * m["n_lines"],
+        (m["n_dup_lines"] >= 5) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]),  # a header and footer alone aren't junk
         (m["word_chars"] < 3 * n) | (m["word_chars"] > 15 * n),
         2 * m["n_shouts"] > n,
     )
@@ -155,7 +155,7 @@ m as (
     coalesce(r.n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(text, '[^!]+', '', 'g')) as n_shouts
   from w left join r on w.k = r.k),
 f as (
-  select *, cast((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (10 * n_dup_lines > 3 * n_lines)::int
+  select *, cast((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (n_dup_lines >= 5 and 10 * n_dup_lines > 3 * n_lines)::int
     + 16 * (word_chars < 3 * n_words or word_chars > 15 * n_words)::int + 32 * (2 * n_shouts > n_words)::int as integer) as failed from m),
 h as (select source, count(*) as n, count(*) filter (where failed > 0) as bad from f group by source),
 s as (select avg(bad / n) as mu, coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1e0 / n) as spread from h),
