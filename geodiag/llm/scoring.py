@@ -13,9 +13,11 @@ discounted towards the words of all classes in the same way; its probability is
 classes. Which class a scored text belongs to isn't looked up.
 
 Documents are dealt to blocks of about ``BLOCK`` bytes by a hash of doc_id. A block's distinct
-words are what meets the corpus: counts are summed over blocks, lattices run once per distinct
-word, and each block gets back its own words only. Nothing that grows with the corpus is
-gathered or broadcast; pieces are a fixed number.
+words are what meets the corpus: they go to buckets by hash, where counts are summed and each
+word notes its blocks; lattices run once per distinct word, and each block gets back its own
+words only. What is shuffled travels as compressed Arrow tables, one for each pair of task and
+target, in place of a row for each word or text. Nothing that grows with the corpus is gathered or
+broadcast; pieces are a fixed number.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from geodiag.llm.sampling import _vocabulary
 from geodiag.llm.words import LOWER, SPACED, chunks, hash_spans, text_buffer, word_spans
 from geodiag.runtime import materialize, ship
 
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 DISCOUNT = 0.75
 #: expectation steps, and the pseudo-count that the vocabulary's own weights share
-ROUNDS, PRIOR = 4, 1000.0
+ROUNDS, PRIOR = 2, 1000.0
 #: classes with counts of their own at most; the rest share the last
 CLASSES = 8
 #: hash of the token that ends a text
@@ -46,13 +48,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def block_words(docs: DataFrame, k: int) -> DataFrame:
-    """Each block's distinct words and how often its training documents of each class have them (0: held-out documents only)."""
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _packed(target: np.ndarray, table: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
+    """Rows dealt by ``target``: its values, and for each a compressed table."""
+    order = np.argsort(target, kind="stable")
+    table, target = table.take(pa.array(order)), target[order]
+    cuts = [*np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])).tolist(), len(target)] if len(target) else [0]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=_ZSTD) as w:
+            w.write_batch(table.slice(a, b - a))
+        out.append(sink.getvalue().to_pybytes())
+    return [int(target[a]) for a in cuts[:-1]], out
+
+
+def _unpacked(column) -> list[pa.RecordBatch]:
+    return [b for p in column for b in pa.ipc.open_stream(p.as_buffer())]
+
+
+def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """``block, payload``: documents (doc_id, text, held_out, z, block) as compressed tables."""
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4000):
+                part = batch.slice(s, 4000)
+                to, data = _packed(np.asarray(part["block"]), part.drop_columns(["block"]))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(data, pa.binary())], names=["block", "payload"])
+
+    return docs.mapInArrow(run, "block long, payload binary")
+
+
+def word_table(packed: DataFrame, k: int, buckets: int) -> DataFrame:
+    """``hash, word, u0..., blocks``: each distinct word, its uses by training documents of each class (0: held-out documents only), and the blocks that have it."""
     names = [f"u{z}" for z in range(k)]
+    fields = ["block", "hash", "word", *names]
 
     def gather(key, table):
         hashes, words, uses, ends = [], [], [], np.zeros(k, np.int64)
-        for batch in table.to_batches():
+        for batch in _unpacked(table["payload"]):
             buf, off = text_buffer(batch["text"])
             train, z = ~np.asarray(batch["held_out"]), np.asarray(batch["z"])
             ends += np.bincount(z[train], minlength=k)
@@ -70,11 +107,27 @@ def block_words(docs: DataFrame, k: int) -> DataFrame:
         u, first, at = np.unique(h, return_index=True, return_inverse=True)
         n = np.zeros((len(u), k), np.int64)
         np.add.at(n, at, np.concatenate([*uses, np.zeros((0, k), np.int64)]))
-        n = np.concatenate([n, ends[None]])
+        n = np.concatenate([n, ends[None]]).astype(np.int32)
+        h = np.append(u.view(np.int64), END)
         word = pa.array([*(words[m] for m in first.tolist()), b""], pa.binary())
-        return pa.table([pa.array(np.full(len(n), key[0].as_py())), pa.array(np.append(u.view(np.int64), END)), word, *(pa.array(n[:, z].copy()) for z in range(k))], names=["block", "hash", "word", *names])
-
-    return docs.select("block", "text", "held_out", "z").groupBy("block").applyInArrow(gather, "block long, hash long, word binary, " + ", ".join(f"{c} long" for c in names))
+        flat = pa.RecordBatch.from_arrays([pa.array(np.full(len(n), key[0].as_py(), np.int32)), pa.array(h), word, *(pa.array(n[:, q].copy()) for q in range(k))], names=fields)
+        to, data = _packed((h.view(np.uint64) % np.uint64(buckets)).astype(np.int64), flat)
+        return pa.table({"bucket": pa.array(to, pa.int64()), "payload": pa.array(data, pa.binary())})
+
+    def merge(key, table):
+        t = pa.Table.from_batches(_unpacked(table["payload"]))
+        h = np.asarray(t["hash"])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sums = [np.add.reduceat(np.asarray(t[c]).astype(np.int64)[order], first) for c in names]
+        blocks = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(np.asarray(t["block"])[order]))
+        # the same hash has the same word everywhere
+        word = t["word"].combine_chunks().take(pa.array(order[first]))
+        return pa.table([pa.array(h[first]), word, *map(pa.array, sums), blocks], names=["hash", "word", *names, "blocks"])
+
+    dealt = packed.groupBy("block").applyInArrow(gather, "bucket long, payload binary")
+    return dealt.groupBy("bucket").applyInArrow(merge, "hash long, word binary, " + ", ".join(f"{c} long" for c in names) + ", blocks array<int>")
 
 
 def _strings(col) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +194,9 @@ def score_texts(docs: DataFrame, model: str = MODEL, column: str | None = "lang"
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block))
     dealt = base.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
-    own = materialize(block_words(dealt, k), "block-words")
+    packed = pack(dealt, n_blocks)
     each = [f"u{i}" for i in range(k)]
-    # the same hash has the same word everywhere
-    words = materialize(own.groupBy("hash").agg(F.min("word").alias("word"), *(F.sum(c).alias(c) for c in each)).withColumn("uses", sum((F.col(c) for c in each), F.lit(0))), "words")
+    words = materialize(word_table(packed, k, n_blocks).withColumn("uses", sum((F.col(c) for c in each), F.lit(0))), "words")
     totals = words.agg(F.sum("uses"), F.count_if(F.col("uses") > 0), *(F.sum(c) for c in each), *(F.count_if(F.col(c) > 0) for c in each), *(F.max(F.when(F.col("hash") == END, F.col(c))) for c in each)).first()
     totals = [int(x or 0) for x in totals]
     n, v, ns, vs, docs_of = totals[0], totals[1], np.array(totals[2 : 2 + k], float), np.array(totals[2 + k : 2 + 2 * k], float), np.array(totals[2 + 2 * k :], float)
@@ -158,42 +210,45 @@ def score_texts(docs: DataFrame, model: str = MODEL, column: str | None = "lang"
     def weigh(batches):
         vocabulary, w = _vocabulary(data)
         for batch in batches:
-            h, uses = np.asarray(batch["hash"]), np.asarray(batch["uses"])
+            h = np.asarray(batch["hash"])
             spelt = np.empty(len(h))
             for i, j in _word_batches(batch):
                 buf, off = _strings(batch["word"].slice(i, j - i))
                 g = build(vocabulary, buf, off)
                 spelt[i:j] = forward(g, w)[g.root + g.size]
-            every = np.log(np.maximum(uses - discount, 0.0) / n + np.exp(np.log(discount * v / n) + spelt)) if n else spelt
-            # below the smallest double the seen share is 0 anyway
-            every = np.where(np.isfinite(every), every, np.log(discount * v / n) + spelt if n else spelt)
-            end = h == END
+            lists = batch["blocks"]
+            n_of = np.asarray(pc.list_value_length(lists))
+            row = np.repeat(np.arange(len(h)), n_of)
+            flat = pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(spelt.astype(np.float32)[row]), *(pa.array(np.asarray(batch[c]).astype(np.int32)[row]) for c in each)], names=["hash", "spelt", *each])
+            to, data_ = _packed(np.asarray(lists.flatten()).astype(np.int64), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(data_, pa.binary())], names=["block", "words"])
+
+    back = words.select("hash", "word", "blocks", *each).mapInArrow(weigh, "block long, words binary")
+
+    def masses(t: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Uses of each word, and its log probability by class."""
+        c = np.stack([np.asarray(t[q]).astype(float) for q in each])
+        uses, spelt = c.sum(axis=0), np.asarray(t["spelt"]).astype(float)
+        with np.errstate(divide="ignore"):
+            every = np.logaddexp(np.log(np.maximum(uses - discount, 0.0) / n), np.log(discount * v / n) + spelt) if n else spelt.copy()
             # every text ends; the end is never spelt by pieces
-            every[end] = np.log(np.maximum(uses[end], 0.1) / max(n, 1))
-            out = []
-            for m in range(k):
-                c = np.asarray(batch[f"u{m}"])
-                if ns[m]:
-                    with np.errstate(divide="ignore"):
-                        mass = np.logaddexp(np.log(np.maximum(c - discount, 0.0) / ns[m]), np.log(discount * vs[m] / ns[m]) + every)
-                    mass[end] = np.log(np.maximum(c[end], 0.1) / ns[m])
-                else:
-                    mass = every
-                out.append(pa.array(mass))
-            yield pa.RecordBatch.from_arrays([batch["hash"], batch["uses"], *out], names=["hash", "uses", *(f"m{i}" for i in range(k))])
-
-    masses = [f"m{i}" for i in range(k)]
-    weights = materialize(words.mapInArrow(weigh, "hash long, uses long, " + ", ".join(f"{c} double" for c in masses)), "weights")
-    back = own.select("block", "hash").join(weights, "hash").select("block", "hash", "uses", *masses)
+            every[end] = np.log(max(uses[end], 0.1) / max(n, 1))
+            out = np.tile(every, (k, 1))
+            for q in range(k):
+                if ns[q]:
+                    out[q] = np.logaddexp(np.log(np.maximum(c[q] - discount, 0.0) / ns[q]), np.log(discount * vs[q] / ns[q]) + every)
+                    out[q, end] = np.log(max(c[q, end], 0.1) / ns[q])
+        return uses, out
 
     def score(key, left, right):
-        order = np.argsort(np.asarray(right["hash"]))
-        known = np.asarray(right["hash"])[order]
-        uses, mass = np.asarray(right["uses"])[order], np.stack([np.asarray(right[c])[order] for c in masses])
+        t = pa.Table.from_batches(_unpacked(right["words"]))
+        t = t.take(pa.array(np.argsort(np.asarray(t["hash"]))))
+        known = np.asarray(t["hash"])
+        end = int(np.searchsorted(known, END))
+        uses, mass = masses(t, end)
         plain = np.log10((uses + 0.1) / (n + 0.1 * (v + 1)))
-        end = np.searchsorted(known, END)
         outs = []
-        for batch in left.to_batches():
+        for batch in _unpacked(left["payload"]):
             buf, off = text_buffer(batch["text"])
             for i, j in chunks(off):
                 part = buf[off[i] : off[j]]
@@ -210,7 +265,7 @@ def score_texts(docs: DataFrame, model: str = MODEL, column: str | None = "lang"
         return pa.concat_tables(outs)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
