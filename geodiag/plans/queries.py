@@ -272,7 +272,7 @@ def score_categories(spark, sf_dir):
 
 @query(_CATS + f", o as (select cast(round(sum(score * weight)) as int) as overall from scored) select overall, {_GRADE.format('overall')} as grade, (select count(*) from found) as finding_count from o")
 def score_overall(spark, sf_dir):
-    found = _all(spark, sf_dir)
+    found = _all(spark, sf_dir).cache()  # read twice
     return score.overall(score.categories(found), found)
 
 
