@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geodiag.llm.ranks import ranked
+from geodiag.runtime import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -58,7 +59,7 @@ def offset(source: Column, seed: int) -> Column:
 def copies(sized: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """``sized`` (doc_id, source, size and any others) plus ``source_size, target, copies``."""
     numbered = ranked(sized, ["source"], [F.col("size").desc(), F.col("doc_id").asc_nulls_last()], "__rank")
-    targets = source_targets(numbered.select("source", "size"), weights, cap).withColumnRenamed("source", "__source")
+    targets = materialize(source_targets(numbered.select("source", "size"), weights, cap).withColumnRenamed("source", "__source"), "targets")
     joined = numbered.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = offset(F.col("source"), seed)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geodiag.runtime import materialize
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: names of the document-level rules, in order of the bits of ``failed``
@@ -123,7 +125,8 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     """
     docs = docs.drop("m", "failed", "base_failed", "host_rate", "kept")
     measured = measure(docs).withColumn("failed", failures(F.col("m")))
-    hosts = host_verdicts(measured, host, limit).select("host", "host_rate", "host_ok")
+    # written, so that the join is planned by the hosts' true size: texts aren't dealt out by host
+    hosts = materialize(host_verdicts(measured, host, limit).select("host", "host_rate", "host_ok"), "hosts")
     base = F.col("failed").bitwiseAND(3) > 0
     joined = measured.join(hosts, F.col(host).eqNullSafe(F.col("host")))
     return joined.select("*", base.alias("base_failed"), ((F.col("failed") == 0) & F.col("host_ok")).alias("kept")).drop("host", "host_ok")
@@ -131,11 +134,9 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    from geodiag.runtime import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     measured = materialize(measure(docs).select("doc_id", "source", "m", failures(F.col("m")).alias("failed")), "quality")
-    hosts = host_verdicts(measured)
+    hosts = materialize(host_verdicts(measured), "hosts")
     joined = measured.join(hosts, F.col("source").eqNullSafe(F.col("host")))
     return joined.select(
         "doc_id", *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geodiag.runtime import materialize
@@ -26,8 +26,8 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str) -> D
     tagged = split.select("*", *key, *null)
     counts = tagged.groupBy(*names, "__part").agg(F.count(F.lit(1)).alias("__c"), F.min("__id").alias("__first"))
     # a group's parts are far fewer than its rows: one for each range partition it touches
-    from pyspark.sql import Window
-
     w = (Window.partitionBy(*names) if group else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # written, so that the join below is planned by its true size and doesn't deal out the rows again
     starts = counts.select(*names, "__part", "__first", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"))
+    starts = materialize(starts, "starts")
     return tagged.join(starts, [*names, "__part"]).withColumn(rank, F.col("__id") - F.col("__first") + F.col("__before")).select(*df.columns, rank)
