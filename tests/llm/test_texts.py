@@ -61,6 +61,16 @@ def test_repeats_are_cut_from_later_documents(spark):
     assert set(WORD.findall(texts[4])) - set(passage) <= set(WORD.findall(out[4].text))
 
 
+def test_passages_whose_seeds_begin_in_other_documents(spark):
+    r = random.Random(6)
+    some = lambda n: [f"q{r.randrange(5000)}" for _ in range(n)]
+    p = some(60)
+    texts = [some(40) + p[:30] + some(40), some(40) + p[30:] + some(40), some(40) + p + some(40), some(40) + p + some(40)]
+    spread = docs(spark, [" ".join(t) for t in texts]).repartitionByRange(4, "doc_id")
+    got = {(d.doc_id, d.ref_id): d for d in substrings.shared_passages(spread).collect()}
+    assert set(got) == {(3, 2)} and (got[3, 2].start, got[3, 2].stop, got[3, 2].matched) == (40, 100, 60)
+
+
 def test_chains_by_brute_force():
     r = random.Random(4)
     for _ in range(60):
