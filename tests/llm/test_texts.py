@@ -71,6 +71,29 @@ def test_passages_whose_seeds_begin_in_other_documents(spark):
     assert set(got) == {(3, 2)} and (got[3, 2].start, got[3, 2].stop, got[3, 2].matched) == (40, 100, 60)
 
 
+def test_passages_in_chains_that_fail_as_a_whole(spark):
+    r = random.Random(7)
+    some = lambda n: [f"z{r.randrange(5000)}" for _ in range(n)]
+    runs = [some(60), *(some(20) for _ in range(6))]
+    texts = [sum((run + some(15) for run in runs), some(30)) for _ in range(2)]
+    got = substrings.shared_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert len(got) == 1 and (got[0].doc_id, got[0].ref_id) == (1, 0)
+    assert got[0].start <= 30 and got[0].stop >= 90 and got[0].matched >= 0.8 * (got[0].stop - got[0].start)
+
+
+def test_parts_by_brute_force():
+    r = random.Random(8)
+    for _ in range(40):
+        n = r.randint(30, 90)
+        a = np.array([r.randrange(10**6) for _ in range(n)])
+        b = np.where([r.random() < r.choice((0.1, 0.5)) for _ in range(n)], -1, a)
+        same = a == b
+        ends = [(int(same[i:j].sum()), i, j) for i in range(n) for j in range(i + 15, n + 1) if same[i] and same[j - 1] and same[i:j].sum() >= 0.8 * (j - i)]
+        got = substrings.parts(a, b, 100, 200, [(100, 200, n)], (100, 100 + n, 200, 200 + n), 15, 0.8)
+        assert (got[0][4] if got else 0) == max(ends, default=(0,))[0]
+        assert all(g[4] == same[g[0] - 100 : g[1] - 100].sum() >= 0.8 * (g[1] - g[0]) and g[2] == g[0] + 100 for g in got)
+
+
 def test_chains_by_brute_force():
     r = random.Random(4)
     for _ in range(60):
