@@ -8,7 +8,9 @@ the probability of their Jaccard similarity. Bands of bins are bucket keys.
 Texts with equal shingle sets are one class. In each bucket, candidate edges form a star around
 the class with the most bucket fellows, and further stars around other members join what is
 still apart, until a round links nothing new; so a bucket of m classes gives O(m) pairs in a
-round, never all. Every link is confirmed on full shingle sets.
+round. At last, classes outside of their bucket's largest component meet all of the bucket that are
+in other components, so that no pair of different components is left out. Every link is
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -149,11 +151,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = materialize(full_sets(sets, k), "sets")
     links = _star_links(members_d, sets, percent)
     # documents of one set are one class: its smallest doc_id stands for it
-    if links is None:
-        labels = classes.select(*same, F.col("rep").alias("component_id"))
-    else:
-        found = connected_components(links)
-        labels = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    found = connected_components(links)
+    labels = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(labels, same, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -167,8 +166,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, merge: bool = Fa
     return joined.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Confirmed links that join all that the stars can join; None if there are no buckets."""
+def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links that join all that any pairs of the buckets join."""
     near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     def star(rows: DataFrame, centres: DataFrame, apart) -> DataFrame:
@@ -198,7 +197,21 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         discard(links)
         discard(new)
         links = grown
-    return links
+    new = materialize(_confirmed(_rest(members, links, near), sets, percent, merge=True), "rest")
+    return links.unionByName(new)
+
+
+def _rest(members: DataFrame, links: DataFrame, near) -> DataFrame:
+    """Pairs of one bucket in different components, but for those within the bucket's largest one."""
+    held = members.join(connected_components(links), F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    held = materialize(held, "held")
+    main = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    open_ = materialize(held.join(main, "key").select("key", "rep", "n", "comp", F.col("m.comp").alias("main")), "open")
+    discard(held)
+    outer = open_.where("comp <> main").select("key", F.struct("rep", "n", "comp").alias("c"))
+    apart = (F.col("comp") != F.col("c.comp")) & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("c.rep")))
+    met = open_.join(outer, "key").where(apart & near(F.col("n"), F.col("c.n")))
+    return met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:

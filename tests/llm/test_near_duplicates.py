@@ -9,7 +9,7 @@ import pytest
 
 from geodiag.llm.components import connected_components
 from geodiag.llm.embeddings import link_vectors, plan_tables
-from geodiag.llm.minhash import BINS, band_keys, densify, near_duplicates, plan_bands
+from geodiag.llm.minhash import BINS, _star_links, band_keys, densify, near_duplicates, plan_bands
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,6 +67,16 @@ def test_edge_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_that_no_star_centre_has(spark):
+    # one crowded bucket; its first centre, 0, links with nothing
+    sets = {i: list(range(1000 * i, 1000 * i + 20)) for i in range(12)}
+    sets[7] = [*sets[5][:19], 1]
+    sets[11] = [*sets[9][:19], 2]
+    members = spark.createDataFrame([(1, i, 20, 100 if i == 0 else 12) for i in sets], "key long, rep long, n long, degree long")
+    links = _star_links(members, spark.createDataFrame(list(sets.items()), "doc_id long, shingles array<long>"), 80)
+    assert {(r.a, r.b) for r in links.collect()} == {(5, 7), (9, 11)}
+
+
 def test_bands_and_densification():
     for percent in (80, 85, 95):
         bands, rows = plan_bands(percent)
