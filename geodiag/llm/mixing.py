@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geodiag.llm.ranks import ranked
+from geodiag.llm.tables import table
 from geodiag.runtime import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, ca
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; only sizes are sorted, texts stay where they are."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     out = copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geodiag.llm.lattice import MODEL, Vocabulary, build, forward, load_pieces, rank_weights, sample
+from geodiag.llm.tables import table
 from geodiag.llm.words import U64, chunks, hash_spans, mix, text_buffer
 from geodiag.runtime import ship
 
@@ -123,6 +124,6 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "decoded") -> D
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded: how many pieces, their hash, and whether every text came back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = decode(encode(docs))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))

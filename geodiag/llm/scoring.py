@@ -1,46 +1,50 @@
-"""Operator 2: language-model scores from subword lattices.
-
-A word's probability is the sum over all its segmentations into an existing vocabulary's pieces,
-by the log-space forward recursion. The vocabulary's scores give the first weights; a few
-expectation steps over the training words re-weight the pieces. Each distinct word counts once in
-them, for the lattice stands for what discounting takes from each distinct word. Words seen in training also have their own share: absolute discounting takes
-``DISCOUNT`` from each seen word's count and gives it to the lattice, so that a seen word's
-probability is ``(c - D) / N + D * V / N * lattice(word)`` and any other's the last term. The
-sum over all texts is 1 at most.
-
-A text is a draw from one of a few classes of documents (here: languages), whose own counts are
-discounted towards the words of all classes in the same way; its probability is the sum over
-classes. Which class a scored text belongs to isn't looked up.
-
-Documents are dealt to blocks of about ``BLOCK`` bytes by a hash of doc_id. A block's distinct
-words are what meets the corpus: they go to buckets by hash, where counts are summed and each
-word notes its blocks; lattices run once per distinct word, and each block gets back its own
-words only. What is shuffled travels as compressed Arrow tables, one for each pair of task and
-target, in place of a row for each word or text. Nothing that grows with the corpus is gathered or
-broadcast; pieces are a fixed number.
+"""Operator 2: marginal probability of whole texts over a subword lattice.
+
+A text's lattice has three kinds of arcs. Pieces of an existing vocabulary spell each word, weighed
+by the vocabulary's own scores; the log-space forward recursion sums over all spellings. Words and
+phrases seen in training documents are arcs over the same letters, weighed by their counts. The
+marginal sums over all ways through the lattice. As no arc crosses a phrase's end, and only phrases
+cross a word's end, the recursion over a text is a sum of words in each phrase and a sum of phrases.
+
+* pieces: ``lattice(word)``, the forward sum under the existing scores.
+* words: absolute discounting gives what it takes from seen words to the pieces:
+  ``(c - D) / N + D * V / N * lattice(word)``.
+* phrases: words up to one whose hash is 0 modulo 2, such phrases up to a hash that is 0 modulo 8,
+  and so on by ``LEVELS``, so equal passages are cut alike wherever they stand. A phrase of two parts
+  or more is ``(1 - q) * parts + q * (c - E) / M``. How much a text quotes isn't known beforehand: its
+  probability is the mean over the shares q of ``SHARES``. A training document's own uses don't count
+  for its phrases, or each would quote itself.
+
+``lattice_score`` has pieces alone. The sum over all texts is 1 at most for both.
+
+Documents are tokenised once, to blocks of about ``BLOCK`` bytes that are written as rows of a
+table: their distinct words and phrases with uses, and a compressed payload. Uses are summed by an
+aggregate and joined back to the blocks that share a word or phrase with others. So each pair of a
+block and a word or phrase in it is one row, in proportion to the text; nothing is gathered on the
+driver or broadcast but the vocabulary, which is of fixed size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geodiag.llm.lattice import MODEL, build, forward, load_pieces, posteriors, rank_weights
+from geodiag.llm.lattice import MODEL, build, forward, load_pieces, rank_weights
 from geodiag.llm.sampling import _vocabulary
-from geodiag.llm.words import LOWER, SPACED, chunks, hash_spans, text_buffer, word_spans
-from geodiag.runtime import materialize, ship
+from geodiag.llm.words import LOWER, SPACED, U64, chunks, hash_spans, mix, text_buffer, word_spans
+from geodiag.runtime import discard, materialize, ship
 
-BLOCK = 16 << 20
-DISCOUNT = 0.75
-#: expectation steps, and the pseudo-count that the vocabulary's own weights share
-ROUNDS, PRIOR = 2, 1000.0
-#: classes with counts of their own at most; the rest share the last
-CLASSES = 8
-#: hash of the token that ends a text
-END = -1
+BLOCK = 8 << 20
+#: taken from each seen word's and phrase's count
+DISCOUNT, PHRASE_DISCOUNT = 0.75, 0.5
+#: a phrase of each level ends with one of this many words, in the mean; each is a multiple of the one before
+LEVELS = (2, 8, 32)
+#: shares of quoted phrases, equally likely
+SHARES = (0.02, 0.1, 0.3, 0.6, 0.9, 0.99)
+#: words whose spelling a Python worker remembers
+REMEMBERED = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,226 +52,214 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
-
+class Spelling:
+    """Log of the lattice's sum for words; words met before aren't computed again."""
+
+    def __init__(self, data):
+        self.vocabulary, self.weights = _vocabulary(data)
+        self.known, self.value = np.zeros(0, U64), np.zeros(0)
+
+    def __call__(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Values of words with the hashes ``h``, in order, that stand at ``buf[starts:stops]``."""
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        out = np.empty(len(h))
+        new = self.known[at] != h if len(self.known) else np.ones(len(h), bool)
+        out[~new] = self.value[at[~new]] if len(self.known) else 0.0
+        todo = np.flatnonzero(new)
+        size = stops[todo] - starts[todo] + 1  # each word begins with the pieces' word mark
+        off = np.concatenate([[0], np.cumsum(size)])
+        for i, j in chunks(off, 1 << 19):
+            n, begin = size[i:j], off[i:j] - off[i]
+            flat = LOWER[buf[np.maximum(np.repeat(starts[todo[i:j]] - 1 - begin, n) + np.arange(n.sum()), 0)]]
+            flat[begin] = 32
+            g = build(self.vocabulary, flat, off[i : j + 1] - off[i])
+            out[todo[i:j]] = forward(g, self.weights)[g.root + g.size]
+        if len(todo):
+            if len(self.known) + len(todo) > REMEMBERED:
+                self.known, self.value = np.zeros(0, U64), np.zeros(0)
+            known, value = np.concatenate([self.known, h[todo]]), np.concatenate([self.value, out[todo]])
+            order = np.argsort(known)
+            self.known, self.value = known[order], value[order]
+        return out
+
+
+def phrases(h: np.ndarray, doc: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each phrase of a run of words, and its hash; phrases end with a text."""
+    end = (h >> U64(20)) % U64(every) == 0
+    end[:-1] |= doc[1:] != doc[:-1]
+    end[-1] = True
+    first = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1])
+    size = np.diff(np.append(first, len(h)))
+    place = np.arange(len(h)) - np.repeat(first, size)
+    return first, mix(np.add.reduceat(mix(h + place.astype(U64) * U64(0x9E3779B97F4A7C15)), first) + size.astype(U64))
+
+
+def nested(h: np.ndarray, doc: np.ndarray, levels: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level: the first part of each phrase among those of the level below, which phrases have two parts or more, and of these the first word and the hash."""
+    out, below = [], np.arange(len(h))
+    for every in levels if len(h) else ():
+        first, key = phrases(h, doc, every)
+        part = np.searchsorted(below, first)
+        many = np.diff(np.append(part, len(below))) > 1
+        out.append((part, many, first[many], key[many]))
+        below = first
+    return out
 
-def _packed(target: np.ndarray, table: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
-    """Rows dealt by ``target``: its values, and for each a compressed table."""
-    order = np.argsort(target, kind="stable")
-    table, target = table.take(pa.array(order)), target[order]
-    cuts = [*np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])).tolist(), len(target)] if len(target) else [0]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=_ZSTD) as w:
-            w.write_batch(table.slice(a, b - a))
-        out.append(sink.getvalue().to_pybytes())
-    return [int(target[a]) for a in cuts[:-1]], out
 
+BLOCKS = "block long, n_train long, hash array<long>, uses array<int>, payload binary"
 
-def _unpacked(column) -> list[pa.RecordBatch]:
-    return [b for p in column for b in pa.ipc.open_stream(p.as_buffer())]
 
+def _rows(**lists) -> bytes:
+    """Arrays of any lengths as a compressed table of one row."""
+    kept = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for k, v in lists.items()}
+    batch, sink = pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept)), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """``block, payload``: documents (doc_id, text, held_out, z, block) as compressed tables."""
 
-    def run(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 4000):
-                part = batch.slice(s, 4000)
-                to, data = _packed(np.asarray(part["block"]), part.drop_columns(["block"]))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(data, pa.binary())], names=["block", "payload"])
-
-    return docs.mapInArrow(run, "block long, payload binary")
-
-
-def word_table(packed: DataFrame, k: int, buckets: int) -> DataFrame:
-    """``hash, word, u0..., blocks``: each distinct word, its uses by training documents of each class (0: held-out documents only), and the blocks that have it."""
-    names = [f"u{z}" for z in range(k)]
-    fields = ["block", "hash", "word", *names]
-
-    def gather(key, table):
-        hashes, words, uses, ends = [], [], [], np.zeros(k, np.int64)
-        for batch in _unpacked(table["payload"]):
-            buf, off = text_buffer(batch["text"])
-            train, z = ~np.asarray(batch["held_out"]), np.asarray(batch["z"])
-            ends += np.bincount(z[train], minlength=k)
-            for i, j in chunks(off):
-                part = buf[off[i] : off[j]]
-                starts, stops, doc = word_spans(part, off[i : j + 1] - off[i], SPACED)
-                h = hash_spans(part, starts, stops)
-                u, first, at = np.unique(h, return_index=True, return_inverse=True)
-                low = LOWER[part].tobytes()
-                hashes.append(u)
-                words += [low[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
-                own = train[i:j][doc]
-                uses.append(np.bincount(at[own] * k + z[i:j][doc[own]], minlength=len(u) * k).reshape(-1, k))
-        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        u, first, at = np.unique(h, return_index=True, return_inverse=True)
-        n = np.zeros((len(u), k), np.int64)
-        np.add.at(n, at, np.concatenate([*uses, np.zeros((0, k), np.int64)]))
-        n = np.concatenate([n, ends[None]]).astype(np.int32)
-        h = np.append(u.view(np.int64), END)
-        word = pa.array([*(words[m] for m in first.tolist()), b""], pa.binary())
-        flat = pa.RecordBatch.from_arrays([pa.array(np.full(len(n), key[0].as_py(), np.int32)), pa.array(h), word, *(pa.array(n[:, q].copy()) for q in range(k))], names=fields)
-        to, data = _packed((h.view(np.uint64) % np.uint64(buckets)).astype(np.int64), flat)
-        return pa.table({"bucket": pa.array(to, pa.int64()), "payload": pa.array(data, pa.binary())})
-
-    def merge(key, table):
-        t = pa.Table.from_batches(_unpacked(table["payload"]))
-        h = np.asarray(t["hash"])
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sums = [np.add.reduceat(np.asarray(t[c]).astype(np.int64)[order], first) for c in names]
-        blocks = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(np.asarray(t["block"])[order]))
-        # the same hash has the same word everywhere
-        word = t["word"].combine_chunks().take(pa.array(order[first]))
-        return pa.table([pa.array(h[first]), word, *map(pa.array, sums), blocks], names=["hash", "word", *names, "blocks"])
-
-    dealt = packed.groupBy("block").applyInArrow(gather, "bucket long, payload binary")
-    return dealt.groupBy("bucket").applyInArrow(merge, "hash long, word binary, " + ", ".join(f"{c} long" for c in names) + ", blocks array<int>")
-
-
-def _strings(col) -> tuple[np.ndarray, np.ndarray]:
-    """Words as lattice strings: each begins with a space, the pieces' word mark."""
-    col = pc.binary_join_element_wise(pa.scalar(b" "), col, pa.scalar(b""))
-    return text_buffer(col)
-
-
-def _word_batches(batch: pa.RecordBatch):
-    """Slices of a batch of at most some thousand words, bounding a lattice's memory."""
-    _, off = text_buffer(batch["word"])
-    yield from chunks(off, 1 << 19)
-
-
-def piece_counts(words: DataFrame, data, n_pieces: int) -> np.ndarray:
-    """Expected uses of each piece in the distinct training words."""
-
-    def expect(batches):
-        v, w = _vocabulary(data)
-        total = np.zeros(n_pieces)
-        for batch in batches:
-            for i, j in _word_batches(batch):
-                part = batch.slice(i, j - i)
-                buf, off = _strings(part["word"])
-                g = build(v, buf, off)
-                p = posteriors(g, w, forward(g, w))
-                total += np.bincount(g.piece, p, n_pieces)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
-
-    sums = words.where("uses > 0 and hash <> -1").select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    out = np.zeros(n_pieces)
-    for r in sums.collect():  # a row for each piece of a fixed vocabulary
-        out[r.piece] = r.n
+def _parts(levelled: list, unit: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """A block's phrases by level, for its payload: how many parts each has, and the units of those with two or more."""
+    out, at = {}, 0
+    for q, (part, _, first, _) in enumerate(levelled):
+        out |= {f"parts{q}": np.diff(np.append(part, n)).astype(np.int32), f"phrase{q}": unit[at : at + len(first)].astype(np.int32)}
+        n, at = len(part), at + len(first)
     return out
 
 
-def _classes(docs: DataFrame, column: str | None) -> tuple[Column, int]:
-    """Class numbers of documents: the commonest values of ``column`` among training documents, and a last class for the rest."""
-    if not column or column not in docs.columns:
-        return F.lit(0), 1
-    top = docs.where(~held_out(F.col("doc_id"))).where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(CLASSES - 1).collect()
-    z = F.lit(len(top))
-    for i, r in enumerate(top):
-        z = F.when(F.col(column) == r[0], i).otherwise(z)
-    return z.cast("int"), len(top) + 1
-
+def blocks_of(docs: DataFrame, data, levels: tuple[int, ...], limit: int) -> DataFrame:
+    """Blocks of documents (doc_id, text, held_out): hashes of distinct words and phrases, in order, and their uses by training documents."""
 
-def score_texts(docs: DataFrame, model: str = MODEL, column: str | None = "lang", discount: float = DISCOUNT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, maybe ``column``): ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    def tokenise(batches):
+        from pyspark import TaskContext
 
-    ``base_score`` is the add-0.1 unigram score of the tokens, ``score`` the model's log10
-    probability of the whole text. Classes are the commonest :data:`CLASSES` - 1 values of
-    ``column`` in training documents. Null and empty texts are one end token. A null doc_id is
-    trained on. Repeated rows count as often as they are there. An empty table gives none.
-    Words are told apart by 64-bit hashes.
+        spell, number = Spelling(data), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            text, off_all = text_buffer(batch["text"])
+            train_all = ~np.asarray(batch["held_out"])
+            for i, j in chunks(off_all, limit):
+                buf, off, train = text[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i], train_all[i:j]
+                word, doc, starts, stops = [], [], [], []
+                for a, b in chunks(off):
+                    s, e, d = word_spans(buf[off[a] : off[b]], off[a : b + 1] - off[a], SPACED)
+                    word.append(hash_spans(buf[off[a] : off[b]], s, e))
+                    starts.append(s + off[a])
+                    stops.append(e + off[a])
+                    doc.append(d + a)
+                h, doc, starts, stops = (np.concatenate(x) for x in (word, doc, starts, stops))
+                n, levelled = len(h), nested(h, doc, levels)
+                # the low bits tell a hash's level; words have level 0
+                keys = [h, *(x[3] for x in levelled)]
+                u, lead, unit = np.unique(np.concatenate([k & ~U64(7) | U64(q) for q, k in enumerate(keys)]), return_index=True, return_inverse=True)
+                owner = np.concatenate([doc, *(doc[x[2]] for x in levelled)])
+                uses = np.bincount(unit[train[owner]], minlength=len(u)).astype(np.int32)
+                words = np.flatnonzero(lead < n)
+                spelt = np.zeros(len(u))
+                spelt[words] = spell(u[words], buf, starts[lead[words]], stops[lead[words]])
+                payload = _rows(doc_id=batch["doc_id"].slice(i, j - i), train=train, size=np.bincount(doc, minlength=j - i).astype(np.int32), word=unit[:n].astype(np.int32), spelt=spelt[words], **_parts(levelled, unit[n:], n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.array([int(train.sum())]), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u.view(np.int64))), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(uses)), pa.array([payload], pa.binary())],
+                    names=[c.split()[0] for c in BLOCKS.split(", ")],
+                )
+                number += 1
+
+    return docs.mapInArrow(tokenise, BLOCKS)
+
+
+COUNTED = "block, hash, uses, c, first"
+
+
+def counted(blocks: DataFrame) -> DataFrame:
+    """``block, hash, uses, c, first``: uses in the block and in all; first: the block is the first that has it."""
+    dealt = blocks.select("block", F.explode(F.arrays_zip("hash", "uses")).alias("u")).select("block", "u.hash", "u.uses").repartition("hash")
+    # merged at every size, as both sides grow with the corpus; both are dealt by the same exchange
+    sums = dealt.groupBy("hash").agg(F.sum("uses").alias("c"), F.min("block").alias("lead")).hint("merge")
+    return dealt.join(sums, "hash").select("block", "hash", "uses", "c", (F.col("block") == F.col("lead")).alias("first"))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+
+
+def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT, levels: tuple[int, ...] = LEVELS, shares: tuple[float, ...] = SHARES, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``.
+
+    ``base_score`` is the add-0.1 unigram score of the tokens, ``score`` the log10 marginal
+    probability of the whole text over all arcs and ``lattice_score`` that over the vocabulary's
+    pieces alone. Null and empty texts are one end token. A null doc_id is trained on. Repeated rows
+    count as often as they are there. An empty table gives none; other columns are ignored. A
+    text's score depends on the set of rows only, not on how they are dealt. Words are told apart by
+    63-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
     pieces, single, scores = load_pieces(model)
-    prior = rank_weights(scores, pieces)
-    z, k = _classes(docs, column)
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), z.alias("z"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block))
-    dealt = base.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
-    packed = pack(dealt, n_blocks)
-    each = [f"u{i}" for i in range(k)]
-    words = materialize(word_table(packed, k, n_blocks).withColumn("uses", sum((F.col(c) for c in each), F.lit(0))), "words")
-    totals = words.agg(F.sum("uses"), F.count_if(F.col("uses") > 0), *(F.sum(c) for c in each), *(F.count_if(F.col(c) > 0) for c in each), *(F.max(F.when(F.col("hash") == END, F.col(c))) for c in each)).first()
-    totals = [int(x or 0) for x in totals]
-    n, v, ns, vs, docs_of = totals[0], totals[1], np.array(totals[2 : 2 + k], float), np.array(totals[2 + k : 2 + 2 * k], float), np.array(totals[2 + 2 * k :], float)
-    share = np.log((docs_of + 0.5) / (docs_of + 0.5).sum())
-    learned = prior
-    for _ in range(rounds):
-        counts = piece_counts(words, (pieces, single, learned), len(pieces))
-        learned = np.log((counts + PRIOR * np.exp(prior)) / (counts.sum() + PRIOR))
-    data = (pieces, single, learned)
-
-    def weigh(batches):
-        vocabulary, w = _vocabulary(data)
-        for batch in batches:
-            h = np.asarray(batch["hash"])
-            spelt = np.empty(len(h))
-            for i, j in _word_batches(batch):
-                buf, off = _strings(batch["word"].slice(i, j - i))
-                g = build(vocabulary, buf, off)
-                spelt[i:j] = forward(g, w)[g.root + g.size]
-            lists = batch["blocks"]
-            n_of = np.asarray(pc.list_value_length(lists))
-            row = np.repeat(np.arange(len(h)), n_of)
-            flat = pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(spelt.astype(np.float32)[row]), *(pa.array(np.asarray(batch[c]).astype(np.int32)[row]) for c in each)], names=["hash", "spelt", *each])
-            to, data_ = _packed(np.asarray(lists.flatten()).astype(np.int64), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(data_, pa.binary())], names=["block", "words"])
-
-    back = words.select("hash", "word", "blocks", *each).mapInArrow(weigh, "block long, words binary")
-
-    def masses(t: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Uses of each word, and its log probability by class."""
-        c = np.stack([np.asarray(t[q]).astype(float) for q in each])
-        uses, spelt = c.sum(axis=0), np.asarray(t["spelt"]).astype(float)
-        with np.errstate(divide="ignore"):
-            every = np.logaddexp(np.log(np.maximum(uses - discount, 0.0) / n), np.log(discount * v / n) + spelt) if n else spelt.copy()
-            # every text ends; the end is never spelt by pieces
-            every[end] = np.log(max(uses[end], 0.1) / max(n, 1))
-            out = np.tile(every, (k, 1))
-            for q in range(k):
-                if ns[q]:
-                    out[q] = np.logaddexp(np.log(np.maximum(c[q] - discount, 0.0) / ns[q]), np.log(discount * vs[q] / ns[q]) + every)
-                    out[q, end] = np.log(max(c[q, end], 0.1) / ns[q])
-        return uses, out
+    data = (pieces, single, rank_weights(scores, pieces))
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = materialize(blocks_of(base.withColumn("held_out", held_out(F.col("doc_id"))), data, levels, block), "blocks")
+    units = materialize(counted(blocks), "units")
+    level = F.col("hash").bitwiseAND(7).alias("level")
+    sums = {r.level: r for r in units.groupBy(level).agg(F.sum("uses").alias("uses"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct")).collect()}  # a row for each level
+    n_words, v_words = (int(sums[0].uses), int(sums[0].distinct)) if 0 in sums else (0, 0)
+    n_phrases = [max(int(sums[q + 1].uses), 1) if q + 1 in sums else 1 for q in range(len(levels))]
+    n_train = int(blocks.agg(F.sum("n_train")).first()[0] or 0)
+    n, v = n_words + n_train, v_words + (n_train > 0)
 
     def score(key, left, right):
-        t = pa.Table.from_batches(_unpacked(right["words"]))
-        t = t.take(pa.array(np.argsort(np.asarray(t["hash"]))))
-        known = np.asarray(t["hash"])
-        end = int(np.searchsorted(known, END))
-        uses, mass = masses(t, end)
-        plain = np.log10((uses + 0.1) / (n + 0.1 * (v + 1)))
-        outs = []
-        for batch in _unpacked(left["payload"]):
-            buf, off = text_buffer(batch["text"])
-            for i, j in chunks(off):
-                part = buf[off[i] : off[j]]
-                starts, stops, doc = word_spans(part, off[i : j + 1] - off[i], SPACED)
-                at = np.searchsorted(known, hash_spans(part, starts, stops).view(np.int64))
-                m = j - i
-                by = np.stack([np.bincount(doc, mass[q][at], m) + mass[q][end] + share[q] for q in range(k)])
-                top = by.max(axis=0)
-                outs.append(pa.table({
-                    "doc_id": batch["doc_id"].slice(i, m), "held_out": batch["held_out"].slice(i, m), "n_tokens": pa.array(np.bincount(doc, minlength=m) + 1),
-                    "n_known": pa.array((np.bincount(doc, uses[at] > 0, m) + (uses[end] > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(m, n)),
-                    "base_score": pa.array(np.bincount(doc, plain[at], m) + plain[end]), "score": pa.array((top + np.log(np.exp(by - top).sum(axis=0))) / np.log(10.0)),
-                }))
-        return pa.concat_tables(outs)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
+        u = np.asarray(left["hash"].combine_chunks().flatten()).view(U64)
+        c = np.asarray(left["uses"].combine_chunks().flatten()).astype(np.int64)
+        c[np.searchsorted(u, np.asarray(right["hash"]).view(U64))] = np.asarray(right["c"])
+        row = pa.ipc.open_stream(left["payload"][0].as_buffer()).read_next_batch()
+        part = {k: row[k].flatten() for k in row.schema.names}
+        doc_id = part.pop("doc_id")
+        part = {k: np.asarray(x) if k == "train" else x.to_numpy(zero_copy_only=False) for k, x in part.items()}
+        train, size, word = part["train"], part["size"], part["word"]
+        spelt = np.zeros(len(u))
+        spelt[u & U64(7) == 0] = part["spelt"]
+        m, doc = len(size), np.repeat(np.arange(len(size)), size)
+        end = (n_train + 1.0) / (n + 2.0)
+        go, stop = np.log1p(-end), np.log(end)
+        with np.errstate(divide="ignore"):
+            mass = np.logaddexp(np.log(np.maximum(c - discount, 0.0) / n_words), np.log(discount * v_words / n_words) + spelt) if n_words else spelt
+        plain = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        ended = np.log10((n_train + 0.1) / (n + 0.1 * (v + 1)))
+        text = np.zeros(m)
+        if len(word):
+            arcs, owner = [], doc
+            for q, most in enumerate(n_phrases):
+                parts, passage = part[f"parts{q}"], part[f"phrase{q}"]
+                begin, many = np.cumsum(parts) - parts, np.flatnonzero(parts > 1)
+                owner = owner[begin]
+                own = owner[many]
+                _, where, often = np.unique(own * np.int64(len(u)) + passage, return_inverse=True, return_counts=True)
+                others = c[passage] - np.where(train[own], often[where], 0) if len(own) else np.zeros(0)
+                hit = others > 0
+                arcs.append((begin, many, many[hit], np.log((others[hit] - PHRASE_DISCOUNT) / most) + go))
+            ways = []
+            for share in shares:
+                way = mass[word] + go
+                for begin, many, hit, quoted in arcs:
+                    way = np.add.reduceat(way, begin)
+                    way[many] += np.log1p(-share)
+                    way[hit] = np.logaddexp(way[hit], np.log(share) + quoted)
+                ways.append(np.bincount(owner, way, m))
+            top = np.max(ways, axis=0)
+            text = top + np.log(np.exp(ways - top).mean(axis=0))
+        seen = np.bincount(doc, c[word] > 0, m).astype(np.int64) + (n_train > 0)
+        return pa.table({
+            "doc_id": doc_id, "held_out": pa.array(~train), "n_tokens": pa.array(size.astype(np.int64) + 1), "n_known": pa.array(seen), "train_tokens": pa.array(np.full(m, n)),
+            "base_score": pa.array(np.bincount(doc, plain[word], m) + ended), "score": pa.array((text + stop) / np.log(10.0)),
+            "lattice_score": pa.array((np.bincount(doc, spelt[word] + go, m) + stop) / np.log(10.0)),
+        })
+
+    # what only one block has needs no answer: its own uses are all
+    back = units.where("c > uses").select("block", "hash", "c")
+    left = blocks.select("block", "hash", "uses", "payload")
+    out = materialize(left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORES), "scores")
+    discard(units)
+    discard(blocks)
+    return out
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """All documents, by a model of those that aren't held out."""
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -112,19 +112,135 @@ def test_chains_by_brute_force():
 
 
 # --- 2
+def toy():
+    """A vocabulary of a few pieces and all bytes."""
+    some = {b" ": 3.0, b"a": 2.0, b"b": 1.5, b" a": 2.5, b"ab": 2.0, b"ba": 1.0, b" ab": 0.5, b"bab": 0.7}
+    pieces = [*some, *[b""] * 256]
+    return pieces, list(range(len(some), len(some) + 256)), np.log([*some.values(), *[0.01] * 256])
+
+
+def all_ways(text, data):
+    """Sum over all segmentations into pieces, one by one; a character that is a piece has no byte arcs."""
+    pieces, single, w = data
+    weight = {p: math.exp(x) for p, x in zip(pieces, w) if p}
+    raw = text.encode()
+
+    def rest(i):
+        if i == len(raw):
+            return 1.0
+        out = sum(x * rest(i + len(p)) for p, x in weight.items() if raw.startswith(p, i))
+        return out if raw[i : i + 1] in weight else out + math.exp(w[single[raw[i]]]) * rest(i + 1)
+
+    return rest(0)
+
+
+def whole_text_scores(texts, data, levels):
+    """log10 of each text's probability and of its pieces alone, with every way through the lattice spelt out."""
+    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    words = [[lower(w).encode() for w in WORD.findall(t or "")] for t in texts]
+    code = {w: int(scoring.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> 20 for t in words for w in t}
+
+    def cut(parts, every, end):
+        """Phrases of parts; a phrase of one part is that part."""
+        out, now = [], []
+        for x in parts:
+            now.append(x)
+            if code[x[1][-1]] % every == 0:
+                out.append(now)
+                now = []
+        return out + [now] if now else out
+
+    def tree(ws):
+        parts = [("word", (w,), []) for w in ws]
+        for level, every in enumerate(levels):
+            parts = [p[0] if len(p) == 1 else (level, tuple(w for x in p for w in x[1]), p) for p in cut(parts, every, None)]
+        return parts
+
+    def uses(parts):
+        for kind, ws, inner in parts:
+            yield kind, ws
+            yield from uses(inner)
+
+    trees = [tree(t) for t in words]
+    each = [Counter(uses(t)) for t in trees]
+    c = Counter()
+    for x, t in zip(each, train):
+        c.update(x if t else {})
+    of = lambda kind: sum(n for (k, _), n in c.items() if k == kind)
+    n, v, n_train = of("word"), sum(k == "word" for k, _ in c), sum(train)
+    end = (n_train + 1) / (n + n_train + 2)
+    spell = {w: all_ways(" " + w.decode(), data) for t in words for w in t}
+    out = []
+    for i, t in enumerate(trees):
+
+        def p(part, q):
+            kind, ws, inner = part
+            if kind == "word":
+                got = c[kind, ws]
+                return (1 - end) * (max(got - 0.75, 0) / n + 0.75 * v / n * spell[ws[0]])
+            by_parts = (1 - q) * math.prod(p(x, q) for x in inner)
+            got = c[kind, ws] - (each[i][kind, ws] if train[i] else 0)
+            return by_parts + (q * (1 - end) * (got - 0.5) / of(kind) if got > 0 else 0)
+
+        whole = np.mean([math.prod(p(x, q) for x in t) for q in scoring.SHARES])
+        out.append((math.log10(whole * end), math.log10(math.prod((1 - end) * spell[w] for w in words[i]) * end)))
+    return out
+
+
+def test_scores_sum_all_ways_through_a_text(spark, monkeypatch):
+    r = random.Random(5)
+    vocab = ["a", "b", "ab", "ba", "aab", "bab", "abba", "é", "b|"]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randrange(12))) for _ in range(40)]
+    texts += [texts[3] + " " + texts[7], texts[3], "AB ab\tBa", None, "", "bab " * 9]
+    data = toy()
+    monkeypatch.setattr(scoring, "load_pieces", lambda model: data)
+    monkeypatch.setattr(scoring, "rank_weights", lambda w, pieces: w - np.log(np.exp(w).sum()))
+    norm = (data[0], data[1], data[2] - np.log(np.exp(data[2]).sum()))
+    for block in (60, 1 << 20):
+        got = {x.doc_id: x for x in scoring.score_texts(docs(spark, texts), block=block).collect()}
+        for i, (score, plain) in enumerate(whole_text_scores(texts, norm, scoring.LEVELS)):
+            assert got[i].score == pytest.approx(score, rel=1e-9) and got[i].lattice_score == pytest.approx(plain, rel=1e-9)
+
+
 def test_scores(spark):
-    texts = [" ".join(random.Random(i).choices(["the", "of", "Cat", "house.", "river", f"odd{i}"], k=60)) for i in range(40)] + ODD
-    got = {r.doc_id: r for r in scoring.score_texts(docs(spark, texts)).collect()}
+    texts = ["the cat sat on the mat", "The dog sat on a log", "zqx unseen words here"] * 6 + ODD
+    frame = docs(spark, texts).unionByName(docs(spark, ["a row without key", "the cat sat"]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = scoring.score_texts(frame).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + 2 and all(not r.held_out for r in rows if r.doc_id is None)
+    extra = [["a", "row", "without", "key"], ["the", "cat", "sat"]]
+    ws_of = [[lower(w) for w in WORD.findall(t or "")] for t in texts]
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
-    tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t in enumerate(texts)}
-    c = Counter(w for i in train for w in tokens[i])
+    c = Counter(w for ws in [*(ws_of[i] for i in train), *extra] for w in [*ws, "<end>"])
     n, v = sum(c.values()), len(c)
-    for i, ws in tokens.items():
-        r = got[i]
+    for i, words in enumerate(ws_of):
+        r, ws = got[i], [*words, "<end>"]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert r.score < 0 and math.isfinite(r.score)
+        assert r.lattice_score < 0 and r.score < 0 and math.isfinite(r.score)
     assert scoring.score_texts(docs(spark, texts).limit(0)).count() == 0
+    alone = scoring.score_texts(docs(spark, ["all held out"]).withColumn("doc_id", F.lit(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)).cast("long"))).first()
+    assert alone.held_out and (alone.train_tokens, alone.base_score) == (0, 0.0) and math.isfinite(alone.score)
+
+
+def test_a_text_that_occurs_twice_scores_apart(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(80)) for _ in range(60)]
+    got = {x.doc_id: x.score / x.n_tokens for x in scoring.score_texts(docs(spark, texts + texts[:5])).collect()}
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 and (i > 4 or zlib.crc32(str(60 + i).encode()) % 10)]
+    assert min(got[i] for i in train if i < 5) > max(got[i] for i in train if i > 4) + 1
+
+
+def test_scoring_sends_rows_in_proportion_to_the_text(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 2000}" for _ in range(150)) for _ in range(160)]
+    sizes = []
+    for n in (40, 80, 160):
+        held = docs(spark, texts[:n]).withColumn("held_out", F.lit(False))
+        pieces, single, scores = load_pieces(MODEL)
+        blocks = scoring.blocks_of(held, (pieces, single, rank_weights(scores, pieces)), scoring.LEVELS, 4000)
+        sizes.append(scoring.counted(blocks).count())
+    assert sizes[1] < 2.1 * sizes[0] and sizes[2] < 2.1 * sizes[1]
 
 
 def test_lattice_sums_all_segmentations():
