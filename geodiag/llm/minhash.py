@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geodiag.llm.components import connected_components
+from geodiag.llm.tables import table
 from geodiag.llm.words import CHUNK, SPACED, U64, chunks, hash_spans, mix, shingles, text_buffer, word_spans
 from geodiag.runtime import discard, materialize, ship
 
@@ -216,7 +217,7 @@ def _rest(members: DataFrame, links: DataFrame, near) -> DataFrame:
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, three-word shingles, similarity 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=85)
 
 
 OP5_SQL = r"""

@@ -7,9 +7,10 @@ marginal sums over all ways through the lattice. As no arc crosses a phrase's en
 cross a word's end, the recursion over a text is a sum of words in each phrase and a sum of phrases.
 
 * pieces: ``lattice(word)``, the forward sum under the existing scores.
-* words: absolute discounting gives what it takes from seen words to the pieces:
-  ``(c - D) / N + D * V / N * lattice(word)``.
-* phrases: words up to one whose hash is 0 modulo 2, such phrases up to a hash that is 0 modulo 8,
+* words: absolute discounting takes from seen words for unseen ones,
+  ``(c - D) / N + D * V / N * unseen(word)``. A word with punctuation at its end is a seen word and
+  seen punctuation, or pieces: ``unseen(word) = c(stem) / N * c(tail) / N + (1 - tails / N) * lattice(word)``.
+* phrases: words up to one whose hash is 0 modulo 4, such phrases up to a hash that is 0 modulo 32,
   and so on by ``LEVELS``, so equal passages are cut alike wherever they stand. A phrase of two parts
   or more is ``(1 - q) * parts + q * (c - E) / M``. How much a text quotes isn't known beforehand: its
   probability is the mean over the shares q of ``SHARES``. A training document's own uses don't count
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from geodiag.llm.lattice import MODEL, build, forward, load_pieces, rank_weights
 from geodiag.llm.sampling import _vocabulary
+from geodiag.llm.tables import table
 from geodiag.llm.words import LOWER, SPACED, U64, chunks, hash_spans, mix, text_buffer, word_spans
 from geodiag.runtime import discard, materialize, ship
 
@@ -40,9 +42,13 @@ BLOCK = 8 << 20
 #: taken from each seen word's and phrase's count
 DISCOUNT, PHRASE_DISCOUNT = 0.75, 0.5
 #: a phrase of each level ends with one of this many words, in the mean; each is a multiple of the one before
-LEVELS = (2, 8, 32)
+LEVELS = (4, 32)
 #: shares of quoted phrases, equally likely
 SHARES = (0.02, 0.1, 0.3, 0.6, 0.9, 0.99)
+#: bytes of the punctuation at a word's end
+TAIL = np.isin(np.arange(256), list(b".,;:!?"))
+#: low bits of hashes: words have 0, phrases their level from 1, punctuation this
+TAILS = 7
 #: words whose spelling a Python worker remembers
 REMEMBERED = 1 << 20
 
@@ -68,7 +74,7 @@ class Spelling:
         todo = np.flatnonzero(new)
         size = stops[todo] - starts[todo] + 1  # each word begins with the pieces' word mark
         off = np.concatenate([[0], np.cumsum(size)])
-        for i, j in chunks(off, 1 << 19):
+        for i, j in chunks(off, 1 << 18):
             n, begin = size[i:j], off[i:j] - off[i]
             flat = LOWER[buf[np.maximum(np.repeat(starts[todo[i:j]] - 1 - begin, n) + np.arange(n.sum()), 0)]]
             flat[begin] = 32
@@ -106,6 +112,17 @@ def nested(h: np.ndarray, doc: np.ndarray, levels: tuple[int, ...]) -> list[tupl
     return out
 
 
+def tails(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with something before punctuation at their end, and the hashes of both parts."""
+    at = np.flatnonzero(TAIL[buf[stops - 1]]) if len(stops) else np.zeros(0, np.int64)
+    cut = stops[at] - 1
+    while len(more := np.flatnonzero((cut > starts[at]) & TAIL[buf[cut - 1]])):
+        cut[more] -= 1
+    whole = cut > starts[at]
+    at, cut = at[whole], cut[whole]
+    return at, hash_spans(buf, starts[at], cut), hash_spans(buf, cut, stops[at])
+
+
 BLOCKS = "block long, n_train long, hash array<long>, uses array<int>, payload binary"
 
 
@@ -148,15 +165,21 @@ def blocks_of(docs: DataFrame, data, levels: tuple[int, ...], limit: int) -> Dat
                     doc.append(d + a)
                 h, doc, starts, stops = (np.concatenate(x) for x in (word, doc, starts, stops))
                 n, levelled = len(h), nested(h, doc, levels)
-                # the low bits tell a hash's level; words have level 0
-                keys = [h, *(x[3] for x in levelled)]
-                u, lead, unit = np.unique(np.concatenate([k & ~U64(7) | U64(q) for q, k in enumerate(keys)]), return_index=True, return_inverse=True)
-                owner = np.concatenate([doc, *(doc[x[2]] for x in levelled)])
-                uses = np.bincount(unit[train[owner]], minlength=len(u)).astype(np.int32)
+                tailed, stem, tail = tails(buf, starts, stops)
+                # the low bits tell a hash's level
+                keys = [h, *(x[3] for x in levelled), stem, tail]
+                level = [0, *range(1, len(levelled) + 1), 0, TAILS]
+                u, lead, unit = np.unique(np.concatenate([k & ~U64(7) | U64(q) for q, k in zip(level, keys)]), return_index=True, return_inverse=True)
+                counts = np.concatenate([train[doc], *(train[doc[x[2]]] for x in levelled), np.zeros(len(stem), bool), train[doc[tailed]]])
+                uses = np.bincount(unit[counts], minlength=len(u)).astype(np.int32)
                 words = np.flatnonzero(lead < n)
-                spelt = np.zeros(len(u))
-                spelt[words] = spell(u[words], buf, starts[lead[words]], stops[lead[words]])
-                payload = _rows(doc_id=batch["doc_id"].slice(i, j - i), train=train, size=np.bincount(doc, minlength=j - i).astype(np.int32), word=unit[:n].astype(np.int32), spelt=spelt[words], **_parts(levelled, unit[n:], n))
+                spelt = spell(u[words], buf, starts[lead[words]], stops[lead[words]])
+                at = len(unit) - 2 * len(stem)
+                _, some = np.unique(unit[tailed], return_index=True)
+                payload = _rows(
+                    doc_id=batch["doc_id"].slice(i, j - i), train=train, size=np.bincount(doc, minlength=j - i).astype(np.int32), word=unit[:n].astype(np.int32), words=words.astype(np.int32), spelt=spelt,
+                    tailed=unit[tailed[some]].astype(np.int32), stem=unit[at:][some].astype(np.int32), tail=unit[at + len(stem) :][some].astype(np.int32), **_parts(levelled, unit[n:at], n),
+                )
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([int(train.sum())]), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u.view(np.int64))), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(uses)), pa.array([payload], pa.binary())],
                     names=[c.split()[0] for c in BLOCKS.split(", ")],
@@ -166,15 +189,13 @@ def blocks_of(docs: DataFrame, data, levels: tuple[int, ...], limit: int) -> Dat
     return docs.mapInArrow(tokenise, BLOCKS)
 
 
-COUNTED = "block, hash, uses, c, first"
-
-
 def counted(blocks: DataFrame) -> DataFrame:
-    """``block, hash, uses, c, first``: uses in the block and in all; first: the block is the first that has it."""
-    dealt = blocks.select("block", F.explode(F.arrays_zip("hash", "uses")).alias("u")).select("block", "u.hash", "u.uses").repartition("hash")
+    """``block, pos, level, uses, c, first``: the unit's place in its block, uses in the block and in all; first: the block is the first that has it."""
+    dealt = blocks.select("block", F.posexplode(F.arrays_zip("hash", "uses")).alias("pos", "u")).select("block", "pos", "u.hash", "u.uses").repartition("hash")
     # merged at every size, as both sides grow with the corpus; both are dealt by the same exchange
     sums = dealt.groupBy("hash").agg(F.sum("uses").alias("c"), F.min("block").alias("lead")).hint("merge")
-    return dealt.join(sums, "hash").select("block", "hash", "uses", "c", (F.col("block") == F.col("lead")).alias("first"))
+    level = F.col("hash").bitwiseAND(7).cast("byte")
+    return dealt.join(sums, "hash").select("block", "pos", level.alias("level"), "uses", "c", (F.col("block") == F.col("lead")).alias("first"))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
@@ -197,29 +218,33 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = materialize(blocks_of(base.withColumn("held_out", held_out(F.col("doc_id"))), data, levels, block), "blocks")
     units = materialize(counted(blocks), "units")
-    level = F.col("hash").bitwiseAND(7).alias("level")
-    sums = {r.level: r for r in units.groupBy(level).agg(F.sum("uses").alias("uses"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct")).collect()}  # a row for each level
+    sums = {r.level: r for r in units.groupBy("level").agg(F.sum("uses").alias("uses"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct")).collect()}  # a row for each level
     n_words, v_words = (int(sums[0].uses), int(sums[0].distinct)) if 0 in sums else (0, 0)
     n_phrases = [max(int(sums[q + 1].uses), 1) if q + 1 in sums else 1 for q in range(len(levels))]
+    n_tails = int(sums[TAILS].uses) if TAILS in sums else 0
     n_train = int(blocks.agg(F.sum("n_train")).first()[0] or 0)
     n, v = n_words + n_train, v_words + (n_train > 0)
 
     def score(key, left, right):
-        u = np.asarray(left["hash"].combine_chunks().flatten()).view(U64)
         c = np.asarray(left["uses"].combine_chunks().flatten()).astype(np.int64)
-        c[np.searchsorted(u, np.asarray(right["hash"]).view(U64))] = np.asarray(right["c"])
+        c[np.asarray(right["pos"])] = np.asarray(right["c"])
         row = pa.ipc.open_stream(left["payload"][0].as_buffer()).read_next_batch()
         part = {k: row[k].flatten() for k in row.schema.names}
         doc_id = part.pop("doc_id")
         part = {k: np.asarray(x) if k == "train" else x.to_numpy(zero_copy_only=False) for k, x in part.items()}
         train, size, word = part["train"], part["size"], part["word"]
-        spelt = np.zeros(len(u))
-        spelt[u & U64(7) == 0] = part["spelt"]
+        spelt = np.zeros(len(c))
+        spelt[part["words"]] = part["spelt"]
         m, doc = len(size), np.repeat(np.arange(len(size)), size)
         end = (n_train + 1.0) / (n + 2.0)
         go, stop = np.log1p(-end), np.log(end)
         with np.errstate(divide="ignore"):
-            mass = np.logaddexp(np.log(np.maximum(c - discount, 0.0) / n_words), np.log(discount * v_words / n_words) + spelt) if n_words else spelt
+            mass = spelt
+            if n_words:
+                unseen = spelt + np.log1p(-n_tails / n_words) if n_tails < n_words else np.full(len(c), -np.inf)
+                at = part["tailed"]
+                unseen[at] = np.logaddexp(unseen[at], np.log(c[part["stem"]] / n_words) + np.log(c[part["tail"]] / n_words))
+                mass = np.logaddexp(np.log(np.maximum(c - discount, 0.0) / n_words), np.log(discount * v_words / n_words) + unseen)
         plain = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         ended = np.log10((n_train + 0.1) / (n + 0.1 * (v + 1)))
         text = np.zeros(m)
@@ -230,7 +255,7 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
                 begin, many = np.cumsum(parts) - parts, np.flatnonzero(parts > 1)
                 owner = owner[begin]
                 own = owner[many]
-                _, where, often = np.unique(own * np.int64(len(u)) + passage, return_inverse=True, return_counts=True)
+                _, where, often = np.unique(own * np.int64(len(c)) + passage, return_inverse=True, return_counts=True)
                 others = c[passage] - np.where(train[own], often[where], 0) if len(own) else np.zeros(0)
                 hit = others > 0
                 arcs.append((begin, many, many[hit], np.log((others[hit] - PHRASE_DISCOUNT) / most) + go))
@@ -252,8 +277,8 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
         })
 
     # what only one block has needs no answer: its own uses are all
-    back = units.where("c > uses").select("block", "hash", "c")
-    left = blocks.select("block", "hash", "uses", "payload")
+    back = units.where("c > uses").select("block", "pos", "c")
+    left = blocks.select("block", "uses", "payload")
     out = materialize(left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORES), "scores")
     discard(units)
     discard(blocks)
@@ -262,4 +287,4 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """All documents, by a model of those that aren't held out."""
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))

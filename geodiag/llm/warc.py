@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geodiag.llm.tables import table
 from geodiag.runtime import materialize, scratch_path, ship
 
 #: bytes of payload after which a writer begins another archive
@@ -214,7 +215,7 @@ def read_archives(index: DataFrame, folder: str, payload: bool = True) -> DataFr
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     """All pages, written, normalised and read back."""
     whole, split = scratch_path(spark, "warc"), scratch_path(spark, "warc-split")
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole)
+    manifest = write_archives(table(spark, sf_dir, "pages"), whole)
     index = normalise(manifest, whole, split)
     return read_archives(index, split, payload=False).drop("target", "payload")
 

@@ -170,6 +170,15 @@ def whole_text_scores(texts, data, levels):
     n, v, n_train = of("word"), sum(k == "word" for k, _ in c), sum(train)
     end = (n_train + 1) / (n + n_train + 2)
     spell = {w: all_ways(" " + w.decode(), data) for t in words for w in t}
+    tail = re.compile(rb"(?<=[^.,;:!?])[.,;:!?]+$")
+    ends = Counter(tail.search(w)[0] for t, ok in zip(words, train) if ok for w in t if tail.search(w))
+    tails = sum(ends.values())
+
+    def unseen(w):
+        x = tail.search(w)
+        both = c["word", (w[: x.start()],)] / n * ends[x[0]] / n if x else 0
+        return both + (1 - tails / n) * spell[w]
+
     out = []
     for i, t in enumerate(trees):
 
@@ -177,7 +186,7 @@ def whole_text_scores(texts, data, levels):
             kind, ws, inner = part
             if kind == "word":
                 got = c[kind, ws]
-                return (1 - end) * (max(got - 0.75, 0) / n + 0.75 * v / n * spell[ws[0]])
+                return (1 - end) * (max(got - 0.75, 0) / n + 0.75 * v / n * unseen(ws[0]))
             by_parts = (1 - q) * math.prod(p(x, q) for x in inner)
             got = c[kind, ws] - (each[i][kind, ws] if train[i] else 0)
             return by_parts + (q * (1 - end) * (got - 0.5) / of(kind) if got > 0 else 0)
@@ -189,7 +198,7 @@ def whole_text_scores(texts, data, levels):
 
 def test_scores_sum_all_ways_through_a_text(spark, monkeypatch):
     r = random.Random(5)
-    vocab = ["a", "b", "ab", "ba", "aab", "bab", "abba", "é", "b|"]
+    vocab = ["a", "b", "ab", "ba", "aab", "bab", "abba", "é", "b|", "b.", "ab,", "bab?!", "...", "é."]
     texts = [" ".join(r.choice(vocab) for _ in range(r.randrange(12))) for _ in range(40)]
     texts += [texts[3] + " " + texts[7], texts[3], "AB ab\tBa", None, "", "bab " * 9]
     data = toy()
