@@ -10,7 +10,7 @@ cross a word's end, the recursion over a text is a sum of words in each phrase a
 * words: absolute discounting takes from seen words for unseen ones,
   ``(c - D) / N + D * V / N * unseen(word)``. A word with punctuation at its end is a seen word and
   seen punctuation, or pieces: ``unseen(word) = c(stem) / N * c(tail) / N + (1 - tails / N) * lattice(word)``.
-* phrases: words up to one whose hash is 0 modulo 4, such phrases up to a hash that is 0 modulo 32,
+* phrases: words up to one whose hash is 0 modulo 8, such phrases up to a hash that is 0 modulo 64,
   and so on by ``LEVELS``, so equal passages are cut alike wherever they stand. A phrase of two parts
   or more is ``(1 - q) * parts + q * (c - E) / M``. How much a text quotes isn't known beforehand: its
   probability is the mean over the shares q of ``SHARES``. A training document's own uses don't count
@@ -38,11 +38,11 @@ from geodiag.llm.tables import table
 from geodiag.llm.words import LOWER, SPACED, U64, chunks, hash_spans, mix, text_buffer, word_spans
 from geodiag.runtime import discard, materialize, ship
 
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: taken from each seen word's and phrase's count
 DISCOUNT, PHRASE_DISCOUNT = 0.75, 0.5
 #: a phrase of each level ends with one of this many words, in the mean; each is a multiple of the one before
-LEVELS = (4, 32)
+LEVELS = (8, 64)
 #: shares of quoted phrases, equally likely
 SHARES = (0.02, 0.1, 0.3, 0.6, 0.9, 0.99)
 #: bytes of the punctuation at a word's end
@@ -74,7 +74,7 @@ class Spelling:
         todo = np.flatnonzero(new)
         size = stops[todo] - starts[todo] + 1  # each word begins with the pieces' word mark
         off = np.concatenate([[0], np.cumsum(size)])
-        for i, j in chunks(off, 1 << 18):
+        for i, j in chunks(off, 1 << 17):
             n, begin = size[i:j], off[i:j] - off[i]
             flat = LOWER[buf[np.maximum(np.repeat(starts[todo[i:j]] - 1 - begin, n) + np.arange(n.sum()), 0)]]
             flat[begin] = 32
@@ -135,11 +135,16 @@ def _rows(**lists) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _planes(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers as three tables of bytes, which compress better."""
+    return {f"word{k}": (x >> shift & most).astype(t) for k, (shift, most, t) in enumerate(((0, 255, np.uint8), (8, 255, np.uint8), (16, 0x7FFF, np.uint16)))}
+
+
 def _parts(levelled: list, unit: np.ndarray, n: int) -> dict[str, np.ndarray]:
     """A block's phrases by level, for its payload: how many parts each has, and the units of those with two or more."""
     out, at = {}, 0
     for q, (part, _, first, _) in enumerate(levelled):
-        out |= {f"parts{q}": np.diff(np.append(part, n)).astype(np.int32), f"phrase{q}": unit[at : at + len(first)].astype(np.int32)}
+        out |= {f"parts{q}": np.diff(np.append(part, n)).astype(np.int32), f"phrase{q}": unit[at : at + len(first)]}
         n, at = len(part), at + len(first)
     return out
 
@@ -173,12 +178,18 @@ def blocks_of(docs: DataFrame, data, levels: tuple[int, ...], limit: int) -> Dat
                 counts = np.concatenate([train[doc], *(train[doc[x[2]]] for x in levelled), np.zeros(len(stem), bool), train[doc[tailed]]])
                 uses = np.bincount(unit[counts], minlength=len(u)).astype(np.int32)
                 words = np.flatnonzero(lead < n)
-                spelt = spell(u[words], buf, starts[lead[words]], stops[lead[words]])
+                spelt = np.zeros(len(u), np.float32)
+                spelt[words] = spell(u[words], buf, starts[lead[words]], stops[lead[words]])
+                # frequent words first, so that their numbers are small
+                order = np.argsort(-np.bincount(unit[:n], minlength=len(u)), kind="stable")
+                u, uses, spelt, place = u[order], uses[order], spelt[order], np.empty(len(u), np.int32)
+                place[order] = np.arange(len(u), dtype=np.int32)
+                unit = place[unit]
                 at = len(unit) - 2 * len(stem)
                 _, some = np.unique(unit[tailed], return_index=True)
                 payload = _rows(
-                    doc_id=batch["doc_id"].slice(i, j - i), train=train, size=np.bincount(doc, minlength=j - i).astype(np.int32), word=unit[:n].astype(np.int32), words=words.astype(np.int32), spelt=spelt,
-                    tailed=unit[tailed[some]].astype(np.int32), stem=unit[at:][some].astype(np.int32), tail=unit[at + len(stem) :][some].astype(np.int32), **_parts(levelled, unit[n:at], n),
+                    doc_id=batch["doc_id"].slice(i, j - i), train=train, size=np.bincount(doc, minlength=j - i).astype(np.int32), spelt=spelt[: len(words)], **_planes(unit[:n]),
+                    tailed=unit[tailed[some]], stem=unit[at:][some], tail=unit[at + len(stem) :][some], **_parts(levelled, unit[n:at], n),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([int(train.sum())]), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u.view(np.int64))), pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(uses)), pa.array([payload], pa.binary())],
@@ -193,9 +204,9 @@ def counted(blocks: DataFrame) -> DataFrame:
     """``block, pos, level, uses, c, first``: the unit's place in its block, uses in the block and in all; first: the block is the first that has it."""
     dealt = blocks.select("block", F.posexplode(F.arrays_zip("hash", "uses")).alias("pos", "u")).select("block", "pos", "u.hash", "u.uses").repartition("hash")
     # merged at every size, as both sides grow with the corpus; both are dealt by the same exchange
-    sums = dealt.groupBy("hash").agg(F.sum("uses").alias("c"), F.min("block").alias("lead")).hint("merge")
+    sums = dealt.groupBy("hash").agg(F.sum("uses").alias("c"), F.min(F.struct("block", "pos")).alias("lead")).hint("merge")
     level = F.col("hash").bitwiseAND(7).cast("byte")
-    return dealt.join(sums, "hash").select("block", "pos", level.alias("level"), "uses", "c", (F.col("block") == F.col("lead")).alias("first"))
+    return dealt.join(sums, "hash").select("block", "pos", level.alias("level"), "uses", "c", (F.struct("block", "pos") == F.col("lead")).alias("first"))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
@@ -232,9 +243,9 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
         part = {k: row[k].flatten() for k in row.schema.names}
         doc_id = part.pop("doc_id")
         part = {k: np.asarray(x) if k == "train" else x.to_numpy(zero_copy_only=False) for k, x in part.items()}
-        train, size, word = part["train"], part["size"], part["word"]
+        train, size, word = part["train"], part["size"], sum(part[f"word{k}"].astype(np.int64) << 8 * k for k in range(3))
         spelt = np.zeros(len(c))
-        spelt[part["words"]] = part["spelt"]
+        spelt[: len(part["spelt"])] = part["spelt"]
         m, doc = len(size), np.repeat(np.arange(len(size)), size)
         end = (n_train + 1.0) / (n + 2.0)
         go, stop = np.log1p(-end), np.log(end)
