@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geodiag.llm.tables import table
-from geodiag.runtime import materialize, scratch_path, ship
+from geodiag.runtime import materialize, parallelism, scratch_path, ship
 
 #: bytes of payload after which a writer begins another archive
 ROLL = 32 << 20
@@ -115,9 +115,12 @@ def decide(pages: DataFrame, least: int = 100) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.select("*", F.sha2(F.encode("payload", "UTF-8"), 256).alias("digest"))
     long = F.octet_length("payload") >= least
-    first = p.where(long).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"))
-    joined = p.join(first, (F.col("digest") == F.col("same")) & long, "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    # ids alone are counted and combined before their shuffle; short payloads, which may well be equal, take part in no join
+    first = p.where(long).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = p.where(long).join(first, F.col("digest") == F.col("same"), "left")
+    columns = ["page_id", "url", "payload", "digest"]
+    decided = joined.select(*columns, F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    return decided.unionByName(p.where(~long).select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
@@ -157,6 +160,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     return materialize(decide(pages, least).mapInArrow(write, MANIFEST), "manifest")
 
 
+def tasks_for(archives: int, most: int) -> int:
+    """Tasks for a number of archives of :data:`ROLL` bytes: one each up to ``most`` tasks, then up to eight a task. Rows that name archives are tiny, so they'd be put together by their bytes if not told."""
+    return max(1, min(archives, max(most, archives // 8)))
+
+
 def normalise(manifest: DataFrame, folder: str, out: str) -> DataFrame:
     """Rewrite each archive with a gzip member per record, beside it ``.idx`` with a line of JSON per record; the index as a table."""
     spark = manifest.sparkSession
@@ -179,7 +187,8 @@ def normalise(manifest: DataFrame, folder: str, out: str) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["archive", "start", "size", "record_id", "kind"])
 
-    return materialize(manifest.select("archive").repartition(F.col("archive")).mapInArrow(rewrite, INDEX), "warc-index")
+    tasks = tasks_for(manifest.count(), parallelism(spark))
+    return materialize(manifest.select("archive").repartition(tasks).mapInArrow(rewrite, INDEX), "warc-index")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, payload string"
@@ -187,7 +196,9 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def read_archives(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """Each indexed record, read at its offset; a response's payload is checked against its digest."""
-    ship(index.sparkSession)
+    spark = index.sparkSession
+    ship(spark)
+    tasks = tasks_for(index.select("archive").distinct().count(), parallelism(spark))
 
     def read(batches):
         store, root = open_folder(folder)
@@ -209,7 +220,7 @@ def read_archives(index: DataFrame, folder: str, payload: bool = True) -> DataFr
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in READ.split(", ")])
 
-    return index.select("archive", "start", "size").repartition(F.col("archive")).sortWithinPartitions("archive", "start").mapInArrow(read, READ)
+    return index.select("archive", "start", "size").repartition(tasks, "archive").sortWithinPartitions("archive", "start").mapInArrow(read, READ)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -334,6 +334,61 @@ def test_licence_phrases(spark):
     assert "mit" in {x.label for x in got[4]} and all(x.share >= licenses.SHARE for f in got for x in f)
 
 
+def notice_spans(ws, notice, k):
+    """The best chain of grams that rise in text and notice, over all pairs of places; words covered, first and last word."""
+    t = notice.split()
+    m = [(at, i) for at in range(len(t) - k + 1) for i in range(len(ws) - k + 1) if ws[i : i + k] == t[at : at + k]]
+    best = {}
+    for at, i in sorted(m):
+        top = (k, i, -i)
+        for a, j in best:
+            if a < at and j < i and best[a, j][0] + min(k, at - a, i - j) > top[0]:
+                top = (best[a, j][0] + min(k, at - a, i - j), best[a, j][1], 0)
+        best[at, i] = top
+    return max(((n, first, i + k) for (at, i), (n, first, _) in best.items()), key=lambda x: (x[0], x[1] - x[2], -x[1]), default=(0, 0, 0))
+
+
+def test_notices_by_brute_force(spark):
+    r = random.Random(6)
+    long = [n for n in licenses.NOTICES if len(n.split()) > 25]
+    texts = []
+    for n in long:
+        ws = n.split()
+        for edits in (0, 2, 4, 9):
+            bent = list(ws)
+            for _ in range(edits):
+                at = r.randrange(len(bent))
+                bent[at : at + r.randrange(2)] = r.choice([[], ["other"], ["two", "more"]])
+            texts.append(" ".join([f"p{r.randrange(50)}" for _ in range(20)] + bent + ["end"] * 5))
+    got = {x.doc_id: [f for f in x.found if not f.exact] for x in licenses.spans(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        ws, want = t.split(), set()
+        for n, label in licenses.NOTICES.items():
+            words, first, last = notice_spans(ws, n, licenses.K)
+            if words and words / max(len(n.split()), last - first) >= licenses.SHARE:
+                want.add((label, first, last, round(words / max(len(n.split()), last - first), 9)))
+        assert {(f.label, f.first, f.last, round(f.share, 9)) for f in got[i]} >= want and {f.label for f in got[i]} == {x[0] for x in want}, t
+
+
+def test_shuffled_and_scattered_notices_have_no_label(spark):
+    r = random.Random(8)
+    ws = max(licenses.NOTICES, key=len).split()
+    grams = [ws[i : i + 4] for i in range(0, len(ws), 4)]
+    scattered = [w for g in grams for w in [*g, *(f"x{r.randrange(99)}" for _ in range(6))]]
+    mixed = [w for g in r.sample(grams, len(grams)) for w in g]
+    turned = [w for g in reversed([ws[i : i + 2] for i in range(len(ws) - 1)]) for w in [*g, "foreign"]]
+    halves = ws[len(ws) // 2 :] + ws[: len(ws) // 2]
+    got = licenses.spans(docs(spark, [" ".join(x) for x in (scattered, mixed, turned, ws[::-1], halves, ws)])).orderBy("doc_id").collect()
+    assert [[f.label for f in x.found] for x in got] == [[], [], [], [], [], ["mit"]] and got[5].found[0].share == 1.0
+
+
+def test_licences_of_odd_tables(spark):
+    one = docs(spark, ["see the MIT License"]).withColumn("gram", F.lit(1)).withColumn("template", F.lit("x")).withColumn("found", F.lit(1))
+    got = licenses.spans(one.unionByName(one).unionByName(one.withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert [[f.label for f in x.found] for x in got] == [["mit"]] * 3
+    assert licenses.spans(one.limit(0)).count() == 0
+
+
 # --- 8
 def test_templates():
     t = chat.Template("{% if 1 == 1 %}a{% else %}b{% endif %}{{ 'x' + 'y' | upper }}{% for m in messages %}{% if m.role == 'assistant' and not loop.first %}{% generation %}{{ m['text'] | trim }}{% endgeneration %}{% endif %}{% endfor %}")
