@@ -68,23 +68,29 @@ def copies(sized: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS
     return joined.withColumn("copies", crossed.cast("long")).drop("__rank")
 
 
+NEW = ("size", "source_size", "target", "copies")
+
+
+def _copied(docs: DataFrame, seed: int, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """``row`` and the columns of :data:`NEW`."""
+    return copies(docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")), seed, weights, cap).select("row", *NEW)
+
+
 def with_copies(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """``docs`` (doc_id, source, text and any others) plus ``size, source_size, target, copies``.
 
     Copies depend on source, size and doc_id alone, so reruns agree. Null text has size 0, a
     null source is a source of its own. Documents without words take part like others. Rows
     alike in source, size and doc_id are interchangeable. An empty table stays empty. Columns
-    of these four names in the input are replaced.
+    of these four names in the input are replaced, all others pass, whatever their names.
     """
-    return copies(docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text"))), seed, weights, cap)
+    return _copied(docs, seed, weights, cap).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in NEW), *NEW)
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mixture itself: ``docs`` with each row repeated ``copies`` times."""
-    own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c in ("size", "source_size", "target", "copies")}
-    out = with_copies(docs.withColumnsRenamed(own), seed, weights, cap).where("copies > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    """The mixture itself: ``docs`` with each row repeated ``copies`` times; all its columns pass."""
+    out = _copied(docs, seed, weights, cap).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -111,6 +112,53 @@ def test_chains_by_brute_force():
         assert score(best) == pytest.approx(top)
 
 
+def test_many_unordered_anchors_are_chained_in_time():
+    r = random.Random(9)
+    n = 4000
+    seg = sorted(zip((20 * i for i in range(n)), (20 * i for i in r.sample(range(n), n)), [5] * n))
+    began = time.process_time()
+    got = substrings.chain(seg)
+    assert time.process_time() - began < 2 and sorted(s for c in got for s in c) == seg
+
+
+def test_exact_passages_before_unlike_words(spark):
+    r = random.Random(10)
+    some = lambda n: [f"u{r.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        passage, tail = some(60), some(18)
+        texts += [" ".join(some(30) + passage + some(22) + tail + some(10)) for _ in range(2)]
+    got = {(x.ref_id, x.doc_id): x for x in substrings.shared_passages(docs(spark, texts)).collect()}
+    assert set(got) == {(2 * i, 2 * i + 1) for i in range(20)} and all(x.start <= 30 and x.stop >= 90 for x in got.values())
+
+
+def test_recall_of_repeated_windows_by_brute_force(spark):
+    """Every 50-word window that an earlier document has too lies in a passage found."""
+    r = random.Random(11)
+    pool = [[f"q{r.randrange(10**7)}" for _ in range(r.randrange(20, 90))] for _ in range(12)]
+    words = [[w for _ in range(r.randrange(1, 6)) for w in [*(f"z{r.randrange(10**7)}" for _ in range(r.randrange(30))), *r.choice(pool)]] for _ in range(40)]
+    passages = substrings.shared_passages(docs(spark, [" ".join(w) for w in words])).collect()
+    spans = {}
+    for p in passages:
+        spans.setdefault(p.doc_id, []).append((p.start, p.stop))
+    seen, missed, total = {}, 0, 0
+    for d, ws in enumerate(words):
+        for i in range(len(ws) - 49):
+            if seen.setdefault(tuple(ws[i : i + 50]), d) != d:
+                total += 1
+                missed += not any(a <= i and i + 50 <= b for a, b in spans.get(d, []))
+    assert total > 500 and missed == 0
+
+
+def test_passages_of_odd_tables(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = docs(spark, [passage, passage, "short", None]).withColumn("cut", F.lit("x")).withColumn("row", F.lit(2)).withColumn("doc", F.lit("y"))
+    frame = rows.unionByName(rows.where("doc_id = 1")).unionByName(rows.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    out = substrings.remove_repeats(frame)
+    assert out.columns == frame.columns and sorted(str((x.doc_id, x.cut, x.row, x.doc)) for x in out.collect()) == sorted(str((i, "x", 2, "y")) for i in (0, 2, 3, None))
+    assert substrings.shared_passages(frame.limit(0)).count() == 0 and substrings.remove_repeats(frame.limit(0)).count() == 0
+
+
 # --- 2
 def toy():
     """A vocabulary of a few pieces and all bytes."""
@@ -302,6 +350,22 @@ def test_a_bad_host_is_rejected(spark):
     assert kept == {"good": 570, None: 1}
 
 
+def test_host_limits_and_odd_tables(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, good if i % 7 else "x", f"h{i % 20}", "mine", "c", i, "t") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, host string, host_ok string, m int, row string")
+    out = quality.judge(frame)
+    assert set(frame.columns) - {"m"} <= set(out.columns) and out.where("kept").count() == sum(i % 7 > 0 for i in range(2000))
+    kept = quality.accepted(frame.unionByName(frame.where("doc_id = 1")))
+    assert kept.columns == frame.columns and kept.where("host = 'mine' and host_ok = 'c' and m = doc_id").count() == 1 + sum(i % 7 > 0 for i in range(2000))
+    assert quality.judge(frame.limit(0)).count() == 0 and quality.accepted(frame.limit(0)).count() == 0
+    # alike hosts have the strongest prior and the lowest limit; one with most documents failing is rejected, its good ones too
+    more = frame.unionByName(frame.limit(300).selectExpr("doc_id + 5000 as doc_id", "case when doc_id % 3 = 0 then text else 'x' end as text", "'bad' as source", "host", "host_ok", "m", "row"))
+    judged = quality.judge(more)
+    assert judged.where("source = 'bad' and kept").count() == 0 < judged.where("source = 'bad' and failed = 0").count()
+    assert judged.where("source <> 'bad' and kept").count() == sum(i % 7 > 0 for i in range(2000))
+
+
 # --- 6
 def test_mixture(spark):
     r = random.Random(7)
@@ -421,6 +485,26 @@ def test_pieces_come_back(spark):
     assert np.exp(rank_weights(scores, pieces)).sum() == pytest.approx(1)
 
 
+def test_sampling_of_odd_tables(spark):
+    frame = docs(spark, ["a text", "a text", None, ""]).withColumn("decoded", F.lit(1)).withColumn("ids", F.lit("x"))
+    frame = frame.unionByName(frame.where("doc_id = 0")).unionByName(frame.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    got = sampling.decode(sampling.encode(frame)).collect()
+    assert len(got) == 6 and all(x.decoded == (x.text or "") for x in got)
+    assert len({tuple(x.ids) for x in got if x.doc_id == 0}) == 1 and sampling.decode(sampling.encode(frame.limit(0))).count() == 0
+
+
+def test_stretches_sum_like_the_uncut_lattice():
+    pieces, single, scores = load_pieces(MODEL)
+    v, w = Vocabulary(pieces, single), rank_weights(scores, pieces)
+    for t in ("the cat, sat on 3.5 mats", "é漢字 x  y\n\nz", "aaaa     bbbb"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        off = np.array([0, len(raw)])
+        whole = build(v, raw, off)
+        starts, _ = sampling.stretches(v, raw, off)
+        cut = build(v, raw, np.append(starts, len(raw)))
+        assert forward(cut, w)[cut.root + cut.size].sum() == pytest.approx(forward(whole, w)[whole.root + whole.size][0])
+
+
 # --- 10
 def test_archives(spark, tmp_path):
     big = "<p>" + "é" * 200
@@ -436,8 +520,52 @@ def test_archives(spark, tmp_path):
         assert r.payload_bytes == len(body) and r.payload_digest == hashlib.sha256(body).hexdigest()
         assert r.payload == (None if r.record_type == "revisit" else body.decode())
     sides = list((tmp_path / "split").glob("*.idx"))
+    assert [warc.tasks_for(n, 8) for n in (0, 1, 5, 12, 1000)] == [1, 1, 5, 8, 125]
     assert sum(len(s.read_text().splitlines()) for s in sides) == len(rows)
     assert warc.write_archives(pages.limit(0), str(tmp_path / "none")).count() == 0
+    # tiny rows that name archives are dealt to more tasks than one, by archive
+    many = warc.write_archives(pages.unionByName(pages).repartition(12), str(tmp_path / "many"))
+    index = warc.normalise(many, str(tmp_path / "many"), str(tmp_path / "apart"))
+    assert many.count() > 4 and len({x.f for x in index.select(F.input_file_name().alias("f")).collect()}) >= 2
+    assert warc.read_archives(index, str(tmp_path / "apart")).count() == 14
+
+
+def odd_documents(spark):
+    r = random.Random(12)
+    some = lambda n: [f"k{r.randrange(3000)}" for _ in range(n)]
+    passage, base = some(60), [some(150) for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    texts += [texts[0], texts[1] + " more", " ".join(base[2] + passage), " ".join(base[3][:70] + passage + base[4][70:]), "", None, "too short", "$ # " * 80]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), "x", i) for i, t in enumerate(texts)]
+    # repeated rows, one doc_id with two texts, rows without key
+    rows += [rows[5], (6, " ".join(some(140)), "en", "s0", 1, "x", 6), (None, texts[7], "en", None, 2, "x", 7), (None, texts[8], "en", None, 2, "x", 8), (None, texts[8], "en", None, 2, "x", 8)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, row int"), texts, passage
+
+
+def test_each_stage_of_the_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    frame, texts, passage = odd_documents(spark)
+    key = lambda df: sorted(str(x.doc_id) for x in df.select("doc_id").collect())
+    done = pipeline.quality(spark, frame, "")
+    short = {16, 17, 18, 19}
+    assert done.columns == frame.columns and key(done) == sorted(str(x.doc_id) for x in frame.select("doc_id").collect() if x.doc_id not in short)
+    done = pipeline.near_copies(spark, frame, "")
+    near = {12, 13}  # 12 is 0 again, 13 is 1 with a word more; 14 and 15 have too much of their own
+    want = [str(i) for i in range(len(texts)) if i not in near] + ["6", "None", "None"]
+    assert done.columns == frame.columns and key(done) == sorted(want)
+    assert sorted(x.text for x in done.where("doc_id is null").collect()) == sorted([texts[7], texts[8]])
+    done = pipeline.repeats(spark, frame, "")
+    assert done.columns == frame.columns
+    got = {x.doc_id: x for x in done.where("doc_id in (0, 12, 14, 15)").collect()}
+    assert 12 not in got and got[0].text == texts[0] and " ".join(passage) in got[14].text + " " + " ".join(passage) and " ".join(passage) not in got[15].text
+    done = pipeline.mixing(spark, frame, "")
+    counts = Counter(x.doc_id for x in done.collect())
+    assert done.columns == frame.columns and max(counts.values()) <= 9 and set(counts) <= {*range(len(texts)), None}
+    done = {x.doc_id: x for x in pipeline.pieces(spark, frame, "").collect()}
+    assert done[16].n_tokens == done[17].n_tokens == 0 < done[0].n_tokens == len(done[0].ids)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, frame.limit(0), "").count() == 0
 
 
 def test_pipeline(spark):
