@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geodiag.llm.minhash import near_duplicates
 from geodiag.llm.mixing import mix
-from geodiag.llm.quality import judge
+from geodiag.llm.quality import accepted
 from geodiag.llm.sampling import encode
 from geodiag.llm.substrings import remove_repeats
 from geodiag.runtime import discard, materialize
@@ -19,15 +19,19 @@ from geodiag.runtime import discard, materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule and whose host isn't rejected."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return accepted(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked at five words and 0.8; rows without doc_id stay."""
+    """One document, that with the smallest doc_id, of each group linked at five words and 0.8.
+
+    Of rows with one doc_id all different texts stay, or none; of equal ones the smallest row. Rows
+    without doc_id are linked with nothing, but of those with equal texts the smallest row stays.
+    """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # rows with one doc_id are one document
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    stay = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    one = stay.groupBy(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("same")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
