@@ -202,11 +202,15 @@ def blocks_of(docs: DataFrame, data, levels: tuple[int, ...], limit: int) -> Dat
 
 def counted(blocks: DataFrame) -> DataFrame:
     """``block, pos, level, uses, c, first``: the unit's place in its block, uses in the block and in all; first: the block is the first that has it."""
-    dealt = blocks.select("block", F.posexplode(F.arrays_zip("hash", "uses")).alias("pos", "u")).select("block", "pos", "u.hash", "u.uses").repartition("hash")
+    # place and uses share a number: rows are many and should be short
+    each = blocks.select("block", F.posexplode(F.arrays_zip("hash", "uses")).alias("pos", "u"))
+    dealt = each.select("block", "u.hash", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("u.uses").cast("long")).alias("place")).repartition("hash")
+    uses = F.col("place").bitwiseAND(0xFFFFFFFF)
     # merged at every size, as both sides grow with the corpus; both are dealt by the same exchange
-    sums = dealt.groupBy("hash").agg(F.sum("uses").alias("c"), F.min(F.struct("block", "pos")).alias("lead")).hint("merge")
+    sums = dealt.groupBy("hash").agg(F.sum(uses).alias("c"), F.min(F.struct("block", "place")).alias("lead")).hint("merge")
     level = F.col("hash").bitwiseAND(7).cast("byte")
-    return dealt.join(sums, "hash").select("block", "pos", level.alias("level"), "uses", "c", (F.struct("block", "pos") == F.col("lead")).alias("first"))
+    first = F.struct("block", "place") == F.col("lead")
+    return dealt.join(sums, "hash").select("block", F.shiftright("place", 32).cast("int").alias("pos"), level.alias("level"), uses.cast("int").alias("uses"), "c", first.alias("first"))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
@@ -238,7 +242,8 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
 
     def score(key, left, right):
         c = np.asarray(left["uses"].combine_chunks().flatten()).astype(np.int64)
-        c[np.asarray(right["pos"])] = np.asarray(right["c"])
+        more = np.asarray(right["more"])
+        c[more >> 40] = more & (1 << 40) - 1
         row = pa.ipc.open_stream(left["payload"][0].as_buffer()).read_next_batch()
         part = {k: row[k].flatten() for k in row.schema.names}
         doc_id = part.pop("doc_id")
@@ -288,7 +293,7 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
         })
 
     # what only one block has needs no answer: its own uses are all
-    back = units.where("c > uses").select("block", "pos", "c")
+    back = units.where("c > uses").select("block", F.shiftleft(F.col("pos").cast("long"), 40).bitwiseOR(F.col("c")).alias("more"))
     left = blocks.select("block", "uses", "payload")
     out = materialize(left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORES), "scores")
     discard(units)

@@ -535,7 +535,7 @@ def odd_documents(spark):
     some = lambda n: [f"k{r.randrange(3000)}" for _ in range(n)]
     passage, base = some(60), [some(150) for _ in range(12)]
     texts = [" ".join(b) for b in base]
-    texts += [texts[0], texts[1] + " more", " ".join(base[2] + passage), " ".join(base[3][:70] + passage + base[4][70:]), "", None, "too short", "$ # " * 80]
+    texts += [texts[0], texts[1] + " more", " ".join(base[2] + passage), " ".join(base[3][:70] + passage + some(80)), "", None, "too short", "$ # " * 80]
     rows = [(i, t, "en", f"s{i % 3}", len(t or ""), "x", i) for i, t in enumerate(texts)]
     # repeated rows, one doc_id with two texts, rows without key
     rows += [rows[5], (6, " ".join(some(140)), "en", "s0", 1, "x", 6), (None, texts[7], "en", None, 2, "x", 7), (None, texts[8], "en", None, 2, "x", 8), (None, texts[8], "en", None, 2, "x", 8)]
