@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geodiag.llm.tables import table
+from geodiag.runtime import materialize
 
 #: words are runs of anything but these
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,7 +132,8 @@ def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     rolled = keyed.select("doc_id", "__text", F.explode(both).alias("g")).select("doc_id", "__text", "g.place", "g.gram")
     # equal rows vote once: their spans are joined back to each
     votes = rolled.join(template_grams(spark, phrases, notices), "gram").groupBy("doc_id", "__text", "template", "label", "exact", F.col("n_words").alias("size"), (F.col("place") - F.col("at")).alias("diagonal"))
-    lines = votes.agg(F.sort_array(F.collect_set("at")).alias("ats"))  # at most the template's length
+    # places are at most the template's length; written, as two plans read them and texts should be hashed once
+    lines = materialize(votes.agg(F.sort_array(F.collect_set("at")).alias("ats")), "diagonals")
     key = ["doc_id", "__text"]
     whole = lines.where("exact and size(ats) = size - 1").select(*key, "label", "exact", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size")).alias("last"), F.lit(1.0).alias("share"))
     cell = F.floor(F.col("diagonal") / DRIFT)
