@@ -15,6 +15,7 @@ from geodiag.functions.text import fixed
 from geodiag.model import FINDING, GEOGRAPHIC, GEOM, LOCATION, RANK, CheckContext, at_feature, at_layer, label
 from geodiag.operators import xray
 from geodiag.operators.recommend import recommend
+from geodiag.runtime import materialize
 
 TOOL = "geodiag"
 
@@ -100,6 +101,20 @@ def _named(ctx: CheckContext, features: DataFrame) -> DataFrame:
     return features.join(ctx.layers.select("layer_idx", F.col("name").alias("layer")), "layer_idx")
 
 
+def layer_facts(ctx: CheckContext) -> DataFrame:
+    """``layer_idx, bare, polygonal, first_idx, p``: a row for each layer with features, from one pass; written once, as several rules read it.
+
+    ``bare``: no feature has properties. ``p``: those of the first feature, whose place is ``first_idx``.
+    """
+
+    def make():
+        return materialize(ctx.features.groupBy("layer_idx").agg(
+            F.bool_and(F.coalesce(F.size("properties"), F.lit(0)) == 0).alias("bare"), F.coalesce(F.bool_or(g.is_polygonal(F.col("geom"))), F.lit(False)).alias("polygonal"),
+            F.min("feat_idx").alias("first_idx"), F.min_by("properties", "feat_idx").alias("p")), "facts")
+
+    return ctx.shared("facts", make)
+
+
 # --- duplicates: one aggregate for both rules
 
 
@@ -139,7 +154,7 @@ def duplicate_geometry(ctx):
 
 @rule("data_quality/empty-dataset", "Empty Dataset", "data_quality", "warning")
 def empty_dataset(ctx):
-    d = ctx.layers.join(ctx.features.select("layer_idx").distinct(), "layer_idx", "left_anti")
+    d = ctx.layers.join(layer_facts(ctx).select("layer_idx"), "layer_idx", "left_anti")
     return findings(d, "data_quality/empty-dataset", "warning", _text("Layer '", F.col("name"), "' contains no features"), at_layer(F.col("name")), "Verify the data source is correct and contains features", F.lit(0.0))
 
 
@@ -166,9 +181,8 @@ def value_type(json: Column) -> Column:
 
 @rule("data/schema-validate", "Schema Validation", "data_quality", "error", 0.8)
 def schema_validate(ctx):
-    first = ctx.features.groupBy("layer_idx").agg(F.min_by("properties", "feat_idx").alias("p"), F.min("feat_idx").alias("first_idx"))
-    # a row per field of each layer's first feature
-    schema = first.select("layer_idx", "first_idx", F.transform(F.map_entries("p"), lambda e: F.struct(e["key"].alias("key"), value_type(e["value"]).alias("type"))).alias("fields"))
+    # the fields of each layer's first feature
+    schema = layer_facts(ctx).select("layer_idx", "first_idx", F.transform(F.map_entries("p"), lambda e: F.struct(e["key"].alias("key"), value_type(e["value"]).alias("type"))).alias("fields"))
     d = ctx.features.select("layer_idx", "feat_idx", label().alias("label"), "geom", "properties").join(schema, "layer_idx").where("feat_idx > first_idx")
     problems = F.filter(
         F.transform("fields", lambda f: F.struct(
@@ -234,39 +248,51 @@ def ring_crosses(ring: list[tuple[float, float]]) -> bool:
 
 
 def has_polygons(ctx: CheckContext) -> bool:
-    """Whether any feature is polygonal: decides, at the cost of one short scan, if plans over rings and pairs are built at all."""
-    return ctx.shared("polygonal", lambda: not ctx.features.where(g.is_polygonal(F.col("geom"))).select("layer_idx").isEmpty())
+    """Whether any feature is polygonal: decides, by the facts if they are there or else by one short scan, if plans over rings and pairs are built at all."""
+    known = ctx.memo.get("facts")
+    return ctx.shared("polygonal", lambda: not (known.where("polygonal") if known is not None else ctx.features.where(g.is_polygonal(F.col("geom")))).select("layer_idx").isEmpty())
+
+
+def polygons(ctx: CheckContext) -> DataFrame:
+    return ctx.features.where(g.is_polygonal(F.col("geom")))
 
 
 def polygon_cells(ctx: CheckContext, grow: float = 0.0) -> DataFrame:
-    """Polygons dealt to grid cells of about their typical size; one row for each cell that the box touches.
+    """``layer_idx, feat_idx, b, level, lv, cx, cy``: polygons' boxes dealt to grid cells of about their typical size, one row for each cell that the box touches.
 
     Most polygons touch few cells. Those much larger than the typical one use coarser grids, by powers of two,
     and a pair meets in the coarser of its two grids: each polygon is also entered in all coarser grids in use.
     """
-    p = ctx.features.where(g.is_polygonal(F.col("geom"))).select("layer_idx", "feat_idx", label().alias("label"), "geom", g.bbox(F.col("geom")).alias("b"), _segments(F.col("geom")).alias("s"), g.centroid(F.col("geom")).alias("c")).where("b is not null")
+    p = polygons(ctx).select("layer_idx", "feat_idx", g.bbox(F.col("geom")).alias("b")).where("b is not null")
     size = F.greatest(F.col("b.max_x") - F.col("b.min_x"), F.col("b.max_y") - F.col("b.min_y"), F.lit(1e-9)) + 2 * grow
     p = p.withColumn("level", F.ceil(F.log2(size)).cast("int"))
     levels = p.groupBy("layer_idx").agg(F.sort_array(F.collect_set("level")).alias("levels"))  # a few dozen whole numbers at most
-    p = p.join(levels, "layer_idx").withColumn("lv", F.explode(F.filter("levels", lambda x: x >= F.col("level"))))
+    p = p.join(levels, "layer_idx").withColumn("lv", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
     side = F.pow(F.lit(2.0), F.col("lv"))
     span = lambda lo, hi: F.sequence(F.floor((lo - grow) / side), F.floor((hi + grow) / side))
     p = p.withColumn("cx", F.explode(span(F.col("b.min_x"), F.col("b.max_x"))))
     return p.withColumn("cy", F.explode(span(F.col("b.min_y"), F.col("b.max_y"))))
 
 
-def candidate_pairs(ctx: CheckContext, grow: float = 0.0) -> DataFrame:
-    """Pairs of polygons of a layer whose boxes meet, each once: by an equi-join on grid cells."""
+def candidate_pairs(ctx: CheckContext, grow: float = 0.0, strict: bool = False) -> DataFrame:
+    """Pairs of polygons of a layer whose boxes meet (``strict``: have an area in common), each once, with both geometries.
+
+    An equi-join on grid cells finds them from ids and boxes alone; geometries are then joined by id to the pairs that are left.
+    """
     c = polygon_cells(ctx, grow)
-    cols = lambda s: [F.col("layer_idx"), F.col("lv"), F.col("cx"), F.col("cy"), *(F.col(x).alias(f"{x}_{s}") for x in ("feat_idx", "label", "geom", "b", "s", "c", "level"))]
-    left, right = c.select(*cols("a")), c.select(*cols("b"))
+    cols = lambda s: [F.col("layer_idx"), F.col("lv"), F.col("cx"), F.col("cy"), *(F.col(x).alias(f"{x}_{s}") for x in ("feat_idx", "b", "level"))]
     side = F.pow(F.lit(2.0), F.col("lv"))
-    met = left.join(right, ["layer_idx", "lv", "cx", "cy"]).where("feat_idx_a < feat_idx_b and lv = greatest(level_a, level_b)")
+    met = c.select(*cols("a")).join(c.select(*cols("b")), ["layer_idx", "lv", "cx", "cy"]).where("feat_idx_a < feat_idx_b and lv = greatest(level_a, level_b)")
     lo = lambda m: F.greatest(F.col(f"b_a.min_{m}"), F.col(f"b_b.min_{m}"))
     hi = lambda m: F.least(F.col(f"b_a.max_{m}"), F.col(f"b_b.max_{m}"))
     # boxes that meet in several cells count in that of their common corner
     corner = (F.floor((lo("x") - grow) / side) == F.col("cx")) & (F.floor((lo("y") - grow) / side) == F.col("cy"))
-    return met.where((lo("x") <= hi("x") + 2 * grow) & (lo("y") <= hi("y") + 2 * grow) & corner)
+    close = (lo("x") < hi("x")) & (lo("y") < hi("y")) if strict else (lo("x") <= hi("x") + 2 * grow) & (lo("y") <= hi("y") + 2 * grow)
+    pairs = met.where(close & corner).select("layer_idx", "feat_idx_a", "feat_idx_b")
+    p = polygons(ctx).select("layer_idx", "feat_idx", label().alias("label"), "geom")
+    for s in ("a", "b"):
+        pairs = pairs.join(p.select("layer_idx", *(F.col(x).alias(f"{x}_{s}") for x in ("feat_idx", "label", "geom"))), ["layer_idx", f"feat_idx_{s}"])
+    return pairs.select("*", _segments(F.col("geom_a")).alias("s_a"), _segments(F.col("geom_b")).alias("s_b"))
 
 
 def _segments(geom: Column) -> Column:
@@ -286,18 +312,26 @@ def contains(segments: Column, pt: Column) -> Column:
     return F.aggregate(segments, F.lit(0), step) == 1
 
 
+#: how far beside an edge's middle a point is taken, of the edge's length
+BESIDE = 1e-6
+
+
 def overlap() -> Column:
-    """Interiors of a candidate pair meet: edges cross properly, or a vertex, an edge's middle or the centroid of one lies inside the other."""
-    sa, sb, ca, cb = (F.col(c) for c in ("s_a", "s_b", "c_a", "c_b"))
+    """Interiors of a candidate pair meet: edges cross properly, or a vertex or an edge's middle of one lies inside the other, or a point close beside an edge's middle inside both.
+
+    The last is for shapes whose edges lie on each other, as those of equal ones do.
+    """
+    sa, sb = F.col("s_a"), F.col("s_b")
+    at = lambda e, k: F.struct(((e["p"]["x"] + e["q"]["x"]) / 2 - k * (e["q"]["y"] - e["p"]["y"])).alias("x"), ((e["p"]["y"] + e["q"]["y"]) / 2 + k * (e["q"]["x"] - e["p"]["x"])).alias("y"))
     crossing = F.exists(sa, lambda x: F.exists(sb, lambda y: g.crosses(x["p"], x["q"], y["p"], y["q"])))
-    probes = lambda segs: F.concat(F.transform(segs, lambda e: e["p"]), F.transform(segs, lambda e: F.struct(((e["p"]["x"] + e["q"]["x"]) / 2).alias("x"), ((e["p"]["y"] + e["q"]["y"]) / 2).alias("y"))))
-    centre = F.exists(F.array(ca, cb), lambda c: contains(sa, c) & contains(sb, c))
-    return crossing | F.exists(probes(sa), lambda p: contains(sb, p)) | F.exists(probes(sb), lambda p: contains(sa, p)) | F.coalesce(centre, F.lit(False))
+    probes = lambda segs: F.concat(F.transform(segs, lambda e: e["p"]), F.transform(segs, lambda e: at(e, 0.0)))
+    beside = lambda segs: F.concat(F.transform(segs, lambda e: at(e, BESIDE)), F.transform(segs, lambda e: at(e, -BESIDE)))
+    both = lambda p: contains(sa, p) & contains(sb, p)
+    return crossing | F.exists(probes(sa), lambda p: contains(sb, p)) | F.exists(probes(sb), lambda p: contains(sa, p)) | F.exists(beside(sa), both) | F.exists(beside(sb), both)
 
 
 def overlapping_pairs(ctx: CheckContext) -> DataFrame:
-    strict = F.expr("greatest(b_a.min_x, b_b.min_x) < least(b_a.max_x, b_b.max_x) and greatest(b_a.min_y, b_b.min_y) < least(b_a.max_y, b_b.max_y)")
-    return ctx.shared("overlaps", lambda: candidate_pairs(ctx).where(strict).where(overlap()))
+    return ctx.shared("overlaps", lambda: candidate_pairs(ctx, strict=True).where(overlap()))
 
 
 @rule("data/topology-overlaps", "Topology Overlaps", "data_quality", "warning", 0.7, ("topology",), can_fix=True)
@@ -364,6 +398,12 @@ def projected_layers(ctx: CheckContext) -> list:
     return ctx.shared("projected", lambda: ctx.layers.where(F.col("crs").isNotNull() & ~F.col("crs").isin(*GEOGRAPHIC)).select("layer_idx", "name", "crs").orderBy("layer_idx").collect())
 
 
+def projected_samples(ctx: CheckContext) -> DataFrame:
+    """``layer_idx, feat_idx, sample_idx, lon, lat`` of the projected layers: at most the configured number each, written once for all rules."""
+    idx = [r.layer_idx for r in projected_layers(ctx)]
+    return ctx.shared("samples", lambda: materialize(xray.sample_points(ctx.features.where(F.col("layer_idx").isin(idx)), ctx.config.xray.max_samples), "samples"))
+
+
 def layer_distortion(ctx: CheckContext) -> DataFrame | None:
     """``layer_idx, name, crs, summary..., rec`` of projected layers; layers whose CRS isn't known are left out with a warning."""
 
@@ -375,7 +415,7 @@ def layer_distortion(ctx: CheckContext) -> DataFrame | None:
         out = []
         for r in projected_layers(ctx):
             try:
-                s = xray.sample_layer(ctx.features.where(F.col("layer_idx") == r.layer_idx), r.crs, ctx.config.xray.max_samples, ctx.config.mode)
+                s = xray.measure(projected_samples(ctx).where(F.col("layer_idx") == r.layer_idx), r.crs, ctx.config.mode)
             except ProjectionError as e:
                 logging.getLogger(TOOL).warning("layer %s skipped: %s", r.name, e)
                 continue
@@ -384,7 +424,7 @@ def layer_distortion(ctx: CheckContext) -> DataFrame | None:
             return None
         world = F.struct(F.lit(-180.0).alias("min_x"), F.lit(-90.0).alias("min_y"), F.lit(180.0).alias("max_x"), F.lit(90.0).alias("max_y"))
         best = recommend(ctx.layers.select("layer_idx", F.coalesce("bounds", world).alias("bounds")), min(1, ctx.config.xray.top_recommendations)).select("layer_idx", F.struct("crs", "name").alias("rec"))
-        return reduce(DataFrame.unionByName, out).join(best, "layer_idx", "left").cache()
+        return materialize(reduce(DataFrame.unionByName, out).join(best, "layer_idx", "left"), "distortion")  # a row per layer, read by two rules
 
     return ctx.shared("distortion", make)
 
@@ -438,10 +478,8 @@ def distance_distortion(ctx):
 
     out = []
     for r in projected_layers(ctx):
-        points = xray.stratified(xray.centroids(ctx.features.where(F.col("layer_idx") == r.layer_idx)), ctx.config.xray.max_samples)
-        points = points.withColumn("sample_idx", F.row_number().over(Window.partitionBy("layer_idx").orderBy("row", "col", "feat_idx")) - 1)
         try:
-            e = distance_errors(points, r.crs)
+            e = distance_errors(projected_samples(ctx).where(F.col("layer_idx") == r.layer_idx), r.crs)
         except ProjectionError:
             continue
         out.append(e.agg(F.max("error_pct").alias("most"), F.avg("error_pct").alias("mean")).where("most is not null").withColumn("layer_idx", F.lit(r.layer_idx)).withColumn("name", F.lit(r.name)).withColumn("crs", F.lit(r.crs)))
@@ -454,8 +492,7 @@ def distance_distortion(ctx):
 
 @rule("cartography/missing-symbology-hints", "Missing Symbology Hints", "cartography", "info")
 def missing_symbology(ctx):
-    any_ = ctx.features.groupBy("layer_idx").agg(F.bool_and(F.coalesce(F.size("properties"), F.lit(0)) == 0).alias("bare"))
-    d = ctx.layers.join(any_, "layer_idx", "left").where(F.coalesce("bare", F.lit(True)))
+    d = ctx.layers.join(layer_facts(ctx).select("layer_idx", "bare"), "layer_idx", "left").where(F.coalesce("bare", F.lit(True)))
     message = _text("Layer '", F.col("name"), "' has no style/classification hint attributes; cartographic checks are limited")
     return findings(d, "cartography/missing-symbology-hints", "info", message, at_layer(F.col("name")), "Include style or class fields to enable deeper cartographic linting")
 

@@ -87,12 +87,17 @@ def measure(points: DataFrame, crs: str, mode: str = "compat") -> DataFrame:
     return d.select(*keep, "area_scale_factor", (F.abs(F.col("area_scale_factor") - 1.0) * 100.0).alias("area_distortion_pct"), omega.alias("angular_distortion_deg"), "semimajor", "semiminor", "theta")
 
 
-def sample_layer(features: DataFrame, crs: str, max_samples: int = 1000, mode: str = "compat") -> DataFrame:
-    """``layer_idx, feat_idx, sample_idx, lon, lat`` and the six indicatrix columns of the sampled centroids."""
+def sample_points(features: DataFrame, max_samples: int = 1000) -> DataFrame:
+    """``layer_idx, feat_idx, sample_idx, lon, lat`` of each layer's sampled centroids."""
     p = stratified(centroids(features), max_samples)
     # the samples are few; their order is the strata's
     p = p.withColumn("sample_idx", F.row_number().over(Window.partitionBy("layer_idx").orderBy("row", "col", "feat_idx")) - 1)
-    return measure(p.select("layer_idx", "feat_idx", "sample_idx", "lon", "lat"), crs, mode)
+    return p.select("layer_idx", "feat_idx", "sample_idx", "lon", "lat")
+
+
+def sample_layer(features: DataFrame, crs: str, max_samples: int = 1000, mode: str = "compat") -> DataFrame:
+    """:func:`sample_points` with the six indicatrix columns."""
+    return measure(sample_points(features, max_samples), crs, mode)
 
 
 def summary(samples: DataFrame, by: list[str] | None = None) -> DataFrame:

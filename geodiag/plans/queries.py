@@ -10,6 +10,7 @@ from geodiag.model import CheckContext, Dataset
 from geodiag.operators import compare, explain, fix, profile, rules, score, xray
 from geodiag.operators.recommend import recommend, scope, utm_zone
 from geodiag.reports import sinks
+from geodiag.runtime import materialize
 from geodiag.sources import derived
 
 QUERIES: dict = {}
@@ -205,15 +206,14 @@ QUERIES["rule_self_intersection"] = _rule("data/self-intersection", derived.quad
 SQL["rule_self_intersection"] = f"with {_QUADS} select 'data/self-intersection' as rule_id, 'error' as severity, 'Feature ' || feat_idx || ' in layer ''quads'' has self-intersecting geometry' as message, cast(null as double) as metric, 0 as layer_idx, feat_idx, cast(null as varchar) as sub_key from quads where bow"
 
 
-def _squares(spark, sf_dir, dense=False):
-    data = derived.quads(spark, sf_dir, dense)
-    return Dataset(data.layers, data.features.where("feat_idx % 11 <> 0"), data.path)
-
-
-QUERIES["rule_topology_overlaps"] = _rule("data/topology-overlaps", _squares)
-SQL["rule_topology_overlaps"] = f"""with {_SPREAD}, s as (select * from quads where not bow)
-select 'data/topology-overlaps' as rule_id, 'warning' as severity, 'Features ' || a.feat_idx || ' and ' || b.feat_idx || ' overlap in layer ''quads''' as message, cast(null as double) as metric, 0 as layer_idx, a.feat_idx, printf('%012d', b.feat_idx) as sub_key
-from s a join s b on a.feat_idx < b.feat_idx and a.x0 < b.x0 + b.w and b.x0 < a.x0 + a.w and a.y0 < b.y0 + b.w and b.y0 < a.y0 + a.w"""
+QUERIES["rule_topology_overlaps"] = _rule("data/topology-overlaps", lambda spark, sf_dir: derived.quads(spark, sf_dir, dense=False))
+# a square is convex, a bowtie two triangles; the normals of all their edges are x, y, x + y and x - y, on which convex shapes with a common area overlap
+SQL["rule_topology_overlaps"] = f"""with {_SPREAD}, v as (
+select feat_idx, unnest([(0, x0, y0), (0, x0 + w, y0), (0, x0 + w, y0 + w), (0, x0, y0 + w)]) as v from quads where not bow
+union all select feat_idx, unnest([(0, x0, y0), (0, x0 + w, y0), (0, x0 + w / 2, y0 + w / 2), (1, x0, y0 + w), (1, x0 + w, y0 + w), (1, x0 + w / 2, y0 + w / 2)]) from quads where bow),
+s as (select feat_idx, v[1] as part, min(v[2]) as xa, max(v[2]) as xb, min(v[3]) as ya, max(v[3]) as yb, min(v[2] + v[3]) as pa, max(v[2] + v[3]) as pb, min(v[2] - v[3]) as ma, max(v[2] - v[3]) as mb from v group by 1, 2)
+select distinct 'data/topology-overlaps' as rule_id, 'warning' as severity, 'Features ' || a.feat_idx || ' and ' || b.feat_idx || ' overlap in layer ''quads''' as message, cast(null as double) as metric, 0 as layer_idx, a.feat_idx, printf('%012d', b.feat_idx) as sub_key
+from s a join s b on a.feat_idx < b.feat_idx and a.xa < b.xb and b.xa < a.xb and a.ya < b.yb and b.ya < a.yb and a.pa < b.pb and b.pa < a.pb and a.ma < b.mb and b.ma < a.mb"""
 
 
 def _slits(spark, sf_dir):
@@ -272,7 +272,7 @@ def score_categories(spark, sf_dir):
 
 @query(_CATS + f", o as (select cast(round(sum(score * weight)) as int) as overall from scored) select overall, {_GRADE.format('overall')} as grade, (select count(*) from found) as finding_count from o")
 def score_overall(spark, sf_dir):
-    found = _all(spark, sf_dir).cache()  # read twice
+    found = materialize(_all(spark, sf_dir).select("rule_id", "severity"), "findings")  # read twice
     return score.overall(score.categories(found), found)
 
 

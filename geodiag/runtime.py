@@ -16,11 +16,13 @@ _CLEARED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent and the master local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         root = own.get()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="geodiag-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
