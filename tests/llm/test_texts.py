@@ -573,3 +573,37 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "source", "n_tokens", "ids"] and out.count() > 50
+
+
+def test_alignment_against_plain_tables():
+    rng = random.Random(5)
+
+    def lcs(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, u in enumerate(a):
+            for j, v in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if u == v else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    def extend(a, b):
+        cells, best, at = {(0, 0): (0, 0)}, 0, (0, 0, 0)
+        for i in range(len(a) + 1):
+            for j in range(max(0, i - substrings.BAND), min(len(b), i + substrings.BAND) + 1):
+                near = [(cells[p][0] - 1, cells[p][1]) for p in ((i - 1, j), (i, j - 1)) if p in cells]
+                if (i - 1, j - 1) in cells:
+                    s, m = cells[i - 1, j - 1]
+                    near.append((s + 1, m + 1) if a[i - 1] == b[j - 1] else (s - 1, m))
+                if near:
+                    cells[i, j] = max(near)
+                    if cells[i, j][0] > best:
+                        best, at = cells[i, j][0], (i, j, cells[i, j][1])
+        return at
+
+    pairs = [([], []), ([1], []), ([], [1])]
+    for _ in range(300):
+        a = [rng.randrange(rng.choice([2, 30])) for _ in range(rng.randrange(25))]
+        b = [w for w in a if rng.random() < 0.9] + [rng.randrange(30) for _ in range(rng.randrange(3))]
+        pairs.append((a, b[:24]))
+    assert [substrings._lcs(a, b) for a, b in pairs] == [lcs(a, b) for a, b in pairs]
+    assert substrings._extend([(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]) == [extend(a, b) for a, b in pairs]
+    assert substrings.align([]) == []
