@@ -33,6 +33,8 @@ ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 HELD = 32 << 20
 #: ids that it collects rows of before it emits them
 EMITTED = 1 << 16
+#: bytes of text that are routed to one task in the mean
+SHARE = 64 << 20
 COPY = 1 << FILTERS.index("E")
 
 
@@ -132,13 +134,16 @@ def _route(key: int) -> int:
 
 
 def masks(docs: DataFrame, partitions: int | None = None) -> RDD:
-    """``(doc_id, part, mask, n)``: how many rows of ``docs`` (doc_id, text, lang) there are of each kind, some of them in several rows. Tasks that hold chains are as many as shuffle partitions, so each holds its share of the distinct texts."""
+    """``(doc_id, part, mask, n)``: how many rows of ``docs`` (doc_id, text, lang) there are of each kind, some of them in several rows. Texts are measured first: tasks that hold chains are as many as their bytes ask for, and as shuffle partitions at least."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        partitions = max(parallelism(docs.sparkSession), -(-size // SHARE))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"))
     rows = rows.select(F.xxhash64("text").alias("key"), "doc_id", "text", "part", failures(F.col("text")).alias("mask"))
     routed = rows.rdd.mapPartitions(_map_side)
-    return routed.partitionBy(partitions or parallelism(docs.sparkSession), _route).mapPartitions(_reduce_side)
+    return routed.partitionBy(partitions, _route).mapPartitions(_reduce_side)
 
 
 def repeated_ids(docs: DataFrame) -> RDD:
