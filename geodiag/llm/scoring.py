@@ -1,10 +1,12 @@
 """Operator 2: marginal probability of whole texts over a subword lattice.
 
-A text's lattice has three kinds of arcs. Pieces of an existing vocabulary spell each word, weighed
-by the vocabulary's own scores; the log-space forward recursion sums over all spellings. Words and
-phrases seen in training documents are arcs over the same letters, weighed by their counts. The
-marginal sums over all ways through the lattice. As no arc crosses a phrase's end, and only phrases
-cross a word's end, the recursion over a text is a sum of words in each phrase and a sum of phrases.
+Pieces of an existing vocabulary spell a text in many ways, weighed by the vocabulary's own scores; the
+log-space forward recursion over the lattice sums over all of them. That is ``score``. As no piece
+crosses a word's end, the recursion over a text is a sum of its words' recursions. No weight comes from the documents.
+
+Two further columns add arcs from training documents to the same lattice, over the same letters and weighed by their
+counts: ``word_score`` has words seen there, ``phrase_score`` phrases as well. As no arc crosses a phrase's end, and only
+phrases cross a word's end, the recursion is a sum of words in each phrase and a sum of phrases.
 
 * pieces: ``lattice(word)``, the forward sum under the existing scores.
 * words: absolute discounting takes from seen words for unseen ones,
@@ -16,7 +18,7 @@ cross a word's end, the recursion over a text is a sum of words in each phrase a
   probability is the mean over the shares q of ``SHARES``. A training document's own uses don't count
   for its phrases, or each would quote itself.
 
-``lattice_score`` has pieces alone. The sum over all texts is 1 at most for both.
+The sum over all texts is 1 at most for each.
 
 Documents are tokenised once, to blocks of about ``BLOCK`` bytes that are written as rows of a
 table: their distinct words and phrases with uses, and a compressed payload. Uses are summed by an
@@ -213,15 +215,15 @@ def counted(blocks: DataFrame) -> DataFrame:
     return dealt.join(sums, "hash").select("block", F.shiftright("place", 32).cast("int").alias("pos"), level.alias("level"), uses.cast("int").alias("uses"), "c", first.alias("first"))
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double, phrase_score double"
 
 
 def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT, levels: tuple[int, ...] = LEVELS, shares: tuple[float, ...] = SHARES, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``.
+    """One row per row of ``docs`` (doc_id, text): ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score, phrase_score``.
 
     ``base_score`` is the add-0.1 unigram score of the tokens, ``score`` the log10 marginal
-    probability of the whole text over all arcs and ``lattice_score`` that over the vocabulary's
-    pieces alone. Null and empty texts are one end token. A null doc_id is trained on. Repeated rows
+    probability of the whole text over the vocabulary's pieces under their existing scores, ``word_score`` that with
+    training words as arcs too, ``phrase_score`` that with training phrases besides. Null and empty texts are one end token. A null doc_id is trained on. Repeated rows
     count as often as they are there. An empty table gives none; other columns are ignored. A
     text's score depends on the set of rows only, not on how they are dealt. Words are told apart by
     63-bit hashes.
@@ -288,8 +290,8 @@ def score_texts(docs: DataFrame, model: str = MODEL, discount: float = DISCOUNT,
         seen = np.bincount(doc, c[word] > 0, m).astype(np.int64) + (n_train > 0)
         return pa.table({
             "doc_id": doc_id, "held_out": pa.array(~train), "n_tokens": pa.array(size.astype(np.int64) + 1), "n_known": pa.array(seen), "train_tokens": pa.array(np.full(m, n)),
-            "base_score": pa.array(np.bincount(doc, plain[word], m) + ended), "score": pa.array((text + stop) / np.log(10.0)),
-            "lattice_score": pa.array((np.bincount(doc, spelt[word] + go, m) + stop) / np.log(10.0)),
+            "base_score": pa.array(np.bincount(doc, plain[word], m) + ended), "score": pa.array((np.bincount(doc, spelt[word] + go, m) + stop) / np.log(10.0)),
+            "word_score": pa.array((np.bincount(doc, mass[word] + go, m) + stop) / np.log(10.0)), "phrase_score": pa.array((text + stop) / np.log(10.0)),
         })
 
     # what only one block has needs no answer: its own uses are all
