@@ -18,34 +18,53 @@ from geodiag.runtime import discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule and whose host isn't rejected."""
+    """Documents that fail no rule and whose host isn't rejected.
+
+    Null and empty texts have too few words and go. Repeated rows and ties are treated alike, each as its text
+    and host ask for; rows without doc_id or source count as any other. An empty table stays empty, other columns pass.
+    """
     return accepted(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group linked at five words and 0.8.
 
-    Of rows with one doc_id all different texts stay, or none; of equal ones the smallest row. Rows
-    without doc_id are linked with nothing, but of those with equal texts the smallest row stays.
+    Of rows with one doc_id all different texts stay, or none; of equal ones one row, the smallest by
+    its JSON text, so columns may be of any type. Rows without doc_id are linked with nothing, but of those with
+    equal texts one stays. Null and empty texts are linked with nothing; an empty table stays empty.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    one = stay.groupBy(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("same")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    # the smallest by what can be ordered in any table: the row's JSON text. Rows that differ in nothing of it are equal
+    order = F.struct(F.length("text"), F.to_json(F.struct("*")))
+    one = stay.groupBy(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("same")).agg(F.min_by(F.struct("*"), order).alias("row"))
     return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller doc_id has too."""
+    """Texts without the passages that a document with a smaller doc_id has too.
+
+    Null, empty and short texts and rows without doc_id stay as they are; rows with one doc_id are one document to
+    others. A document of which no word is left goes. An empty table stays empty, other columns pass.
+    """
     return remove_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each row as often as its source's target asks for."""
+    """The mixture: each row as often as its source's target asks for.
+
+    Null and empty texts have no size and are taken no time. A null source is one of its own, after all others. Repeated rows are
+    rows of their own; ties between them are settled by order. An empty table stays empty, other columns pass.
+    """
     return mix(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's sampled segmentation."""
+    """Every row's sampled segmentation: ``doc_id, source, n_tokens, ids``.
+
+    Null and empty texts have no pieces. Samples are drawn by row key and text, so repeated rows have one segmentation; a null
+    doc_id is a key of its own. An empty table stays empty.
+    """
     return encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
