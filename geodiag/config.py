@@ -14,6 +14,11 @@ FILE = ".geodiag.yml"
 class XrayConfig:
     max_samples: int = 1000
     top_recommendations: int = 5
+    #: what candidates are ranked by: area, distance, shape or balanced
+    optimize_for: str = "area"
+    #: systems that are always evaluated, and never recommended
+    include_crs: tuple[str, ...] = ()
+    exclude_crs: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

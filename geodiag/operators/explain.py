@@ -33,6 +33,12 @@ DATABASE = (
     (3826, 'TWD97 / TM2 zone 121', 'Taiwan Datum 1997 — Transverse Mercator for Taiwan.', False, True, False, False, 'Mapping and surveying in Taiwan', 'Taiwan'),
 )
 
+# fixed values: the curated systems' families, in their order
+FAMILIES = (
+    "Geographic (unprojected)", "Mercator", "Unknown", "Unknown", "Transverse Mercator", "Transverse Mercator", "Transverse Mercator", "Albers Equal-Area Conic", "Cylindrical Equal-Area", "Lambert Azimuthal Equal-Area",
+    "Geographic (unprojected)", "Geographic (unprojected)", "Transverse Mercator", "Transverse Mercator", "Transverse Mercator", "Unknown", "Albers Equal-Area Conic", "Robinson (compromise)", "Albers Equal-Area Conic", "Transverse Mercator", "Unknown", "Transverse Mercator",
+)
+
 
 def database(spark: SparkSession) -> DataFrame:
     """The curated systems as a table of 22 rows."""

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geodiag.errors import ProjectionError
 from geodiag.functions import geometry as g
-from geodiag.functions.projections import GEOGRAPHIC, project
+from geodiag.functions.projections import GEOGRAPHIC, parameters, project, unproject
 from geodiag.model import Dataset, compute_layers
 
 
@@ -23,10 +22,16 @@ def dedup(features: DataFrame) -> DataFrame:
 
 
 def reproject(features: DataFrame, source: str, target: str) -> DataFrame:
-    """Features with every vertex projected from longitude and latitude; one that can't be stays as it is."""
-    if source not in GEOGRAPHIC:
-        raise ProjectionError(f"Failed to create projection {source} -> {target}: only geographic sources are supported")
-    return features.withColumn("geom", g.map_coords(F.col("geom"), lambda x, y: project(target, x, y)))
+    """Features with every vertex taken from one system to another, by way of longitude and latitude; a vertex that can't be stays as it is."""
+    parameters(source), parameters(target)  # unknown systems are told before any work
+
+    def move(x, y):
+        if source in GEOGRAPHIC:
+            return project(target, x, y)
+        back = unproject(source, x, y)
+        return back if target in GEOGRAPHIC else g.let(back, lambda p: project(target, p["x"], p["y"]))
+
+    return features.withColumn("geom", g.map_coords(F.col("geom"), move))
 
 
 def heal(data: Dataset) -> tuple[Dataset, DataFrame]:

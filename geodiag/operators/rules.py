@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geodiag.functions import geometry as g
+from geodiag.functions.projections import project, with_parameters
 from geodiag.functions.text import fixed
 from geodiag.model import FINDING, GEOGRAPHIC, GEOM, LOCATION, RANK, CheckContext, at_feature, at_layer, label
 from geodiag.operators import xray
@@ -393,46 +394,42 @@ def datum_mismatch(ctx):
     return findings(d, "proj/datum-mismatch", "error", message, at_layer(F.col("name")), f"Reproject all layers to a common CRS. Run `{TOOL} fix --reproject` to align to a recommended CRS.", fixable=True)
 
 
-def projected_layers(ctx: CheckContext) -> list:
-    """Layers whose CRS is given and not geographic: a plan is built for each, as each has a projection of its own."""
-    return ctx.shared("projected", lambda: ctx.layers.where(F.col("crs").isNotNull() & ~F.col("crs").isin(*GEOGRAPHIC)).select("layer_idx", "name", "crs").orderBy("layer_idx").collect())
+def projected_layers(ctx: CheckContext) -> DataFrame:
+    """``layer_idx, name, crs, projection`` of layers whose CRS is given, known and not geographic: a row for each with its parameters, so that all go through one plan. Other layers aren't measured."""
+    given = ctx.layers.where(F.col("crs").isNotNull() & ~F.col("crs").isin(*GEOGRAPHIC)).select("layer_idx", "name", "crs")
+    return ctx.shared("projected", lambda: materialize(with_parameters(given).where("projection is not null"), "projected"))
 
 
 def projected_samples(ctx: CheckContext) -> DataFrame:
-    """``layer_idx, feat_idx, sample_idx, lon, lat`` of the projected layers: at most the configured number each, written once for all rules."""
-    idx = [r.layer_idx for r in projected_layers(ctx)]
-    return ctx.shared("samples", lambda: materialize(xray.sample_points(ctx.features.where(F.col("layer_idx").isin(idx)), ctx.config.xray.max_samples), "samples"))
+    """``layer_idx, feat_idx, sample_idx, lon, lat, name, crs, projection`` of the projected layers: at most the configured number each, written once for all rules."""
 
+    def make():
+        layers = projected_layers(ctx)
+        samples = xray.sample_points(ctx.features.join(layers.select("layer_idx"), "layer_idx", "left_semi"), ctx.config.xray.max_samples)
+        return materialize(samples.join(layers, "layer_idx"), "samples")
+
+    return ctx.shared("samples", make)
 
-def layer_distortion(ctx: CheckContext) -> DataFrame | None:
-    """``layer_idx, name, crs, summary..., rec`` of projected layers; layers whose CRS isn't known are left out with a warning."""
+
+def layer_distortion(ctx: CheckContext) -> DataFrame:
+    """``layer_idx, name, crs, summary..., rec`` of projected layers, all in one plan."""
 
     def make():
-        import logging
-
-        from geodiag.errors import ProjectionError
-
-        out = []
-        for r in projected_layers(ctx):
-            try:
-                s = xray.measure(projected_samples(ctx).where(F.col("layer_idx") == r.layer_idx), r.crs, ctx.config.mode)
-            except ProjectionError as e:
-                logging.getLogger(TOOL).warning("layer %s skipped: %s", r.name, e)
-                continue
-            out.append(xray.summary(s).withColumn("layer_idx", F.lit(r.layer_idx)).withColumn("name", F.lit(r.name)).withColumn("crs", F.lit(r.crs)))
-        if not out:
-            return None
+        measured = xray.summary(xray.measure(projected_samples(ctx), F.col("projection"), ctx.config.mode), ["layer_idx"])
+        # a layer without samples has zeros
+        known = projected_layers(ctx).select("layer_idx", "name", "crs")
+        zeros = {c: 0 for c in measured.columns if c != "layer_idx"}
+        measured = known.join(measured, "layer_idx", "left").fillna(zeros)
         world = F.struct(F.lit(-180.0).alias("min_x"), F.lit(-90.0).alias("min_y"), F.lit(180.0).alias("max_x"), F.lit(90.0).alias("max_y"))
         best = recommend(ctx.layers.select("layer_idx", F.coalesce("bounds", world).alias("bounds")), min(1, ctx.config.xray.top_recommendations)).select("layer_idx", F.struct("crs", "name").alias("rec"))
-        return materialize(reduce(DataFrame.unionByName, out).join(best, "layer_idx", "left"), "distortion")  # a row per layer, read by two rules
+        return materialize(measured.join(best, "layer_idx", "left"), "distortion")  # a row per layer, read by two rules
 
     return ctx.shared("distortion", make)
 
 
 @rule("proj/area-distortion", "Area Distortion", "projection", "warning", can_fix=True)
 def area_distortion(ctx):
-    if (d := layer_distortion(ctx)) is None:
-        return no_findings(ctx)
+    d = layer_distortion(ctx)
     most, mean = F.col("max_area_distortion_pct"), F.col("mean_area_distortion_pct")
     message = _text("Layer '", F.col("name"), "' has ", fixed(most, 1), "% max area distortion (mean: ", fixed(mean, 1), "%) in CRS ", F.col("crs"))
     advice = F.when(F.col("rec").isNotNull(), _text("Consider reprojecting to ", F.col("rec.crs"), " (", F.col("rec.name"), "). Max area distortion: ", fixed(most, 1), "%, mean: ", fixed(mean, 1), f"%. Run `{TOOL} fix --reproject`."))
@@ -443,8 +440,7 @@ def area_distortion(ctx):
 
 @rule("projection/high-distortion", "High Distortion", "projection", "warning", can_fix=True)
 def high_distortion(ctx):
-    if (d := layer_distortion(ctx)) is None:
-        return no_findings(ctx)
+    d = layer_distortion(ctx)
     most, limit = F.col("max_area_distortion_pct"), float(ctx.config.check.max_distortion_pct)
     message = _text("Layer '", F.col("name"), "' has ", fixed(most, 1), "% max area distortion (threshold: ", fixed(F.lit(limit), 1), "%) in CRS ", F.col("crs"))
     advice = F.coalesce(F.when(F.col("rec").isNotNull(), _text("Consider reprojecting to ", F.col("rec.crs"), " (", F.col("rec.name"), f"). Run `{TOOL} xray {ctx.data.path}` for details.")), F.lit(f"Run `{TOOL} xray {ctx.data.path}` for CRS recommendations."))
@@ -456,36 +452,24 @@ def haversine(lon1, lat1, lon2, lat2, radius: float = xray.EARTH) -> Column:
     return 2 * radius * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
-def distance_errors(samples: DataFrame, crs: str) -> DataFrame:
-    """Each sample against the next in order: ``i, j, planar, geodesic, error_pct``.
+def distance_errors(samples: DataFrame) -> DataFrame:
+    """Each sample of a layer against the next in order: ``layer_idx, name, crs, i, j, planar, geodesic, error_pct``, in metres.
 
-    ``samples`` (sample_idx, lon, lat) are at most the configured number, so one ordered pass is small.
+    ``samples`` as of :func:`projected_samples`: at most the configured number a layer, so one ordered pass over each is small.
     """
-    from geodiag.functions.projections import project
-
-    w = Window.orderBy("sample_idx")
-    p = samples.select("sample_idx", "lon", "lat", project(crs, F.col("lon"), F.col("lat")).alias("p"))
+    w = Window.partitionBy("layer_idx").orderBy("sample_idx")
+    p = samples.withColumn("p", project(F.col("projection"), F.col("lon"), F.col("lat")))
     p = p.select("*", *(F.lead(c).over(w).alias(f"{c}2") for c in ("sample_idx", "lon", "lat", "p"))).where("p is not null and p2 is not null")
-    planar = F.sqrt((F.col("p2.x") - F.col("p.x")) * (F.col("p2.x") - F.col("p.x")) + (F.col("p2.y") - F.col("p.y")) * (F.col("p2.y") - F.col("p.y")))
+    planar = F.sqrt((F.col("p2.x") - F.col("p.x")) * (F.col("p2.x") - F.col("p.x")) + (F.col("p2.y") - F.col("p.y")) * (F.col("p2.y") - F.col("p.y"))) * F.col("projection.unit")
     geodesic = haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    d = p.select(F.col("sample_idx").alias("i"), F.col("sample_idx2").alias("j"), planar.alias("planar"), geodesic.alias("geodesic")).where("geodesic > 0")
+    d = p.select("layer_idx", "name", "crs", F.col("sample_idx").alias("i"), F.col("sample_idx2").alias("j"), planar.alias("planar"), geodesic.alias("geodesic")).where("geodesic > 0")
     return d.withColumn("error_pct", F.abs(F.col("planar") - F.col("geodesic")) / F.col("geodesic") * 100.0)
 
 
 @rule("proj/distance-distortion", "Distance Distortion", "projection", "warning", 0.8)
 def distance_distortion(ctx):
-    from geodiag.errors import ProjectionError
-
-    out = []
-    for r in projected_layers(ctx):
-        try:
-            e = distance_errors(projected_samples(ctx).where(F.col("layer_idx") == r.layer_idx), r.crs)
-        except ProjectionError:
-            continue
-        out.append(e.agg(F.max("error_pct").alias("most"), F.avg("error_pct").alias("mean")).where("most is not null").withColumn("layer_idx", F.lit(r.layer_idx)).withColumn("name", F.lit(r.name)).withColumn("crs", F.lit(r.crs)))
-    if not out:
-        return no_findings(ctx)
-    d = reduce(DataFrame.unionByName, out).where(F.col("most") > float(ctx.config.check.max_distortion_pct))
+    d = distance_errors(projected_samples(ctx)).groupBy("layer_idx", "name", "crs").agg(F.max("error_pct").alias("most"), F.avg("error_pct").alias("mean"))
+    d = d.where(F.col("most") > float(ctx.config.check.max_distortion_pct))
     message = _text("Layer '", F.col("name"), "' has ", fixed(F.col("most"), 1), "% max distance distortion (mean: ", fixed(F.col("mean"), 1), "%) in CRS ", F.col("crs"))
     return findings(d, "proj/distance-distortion", "warning", message, at_layer(F.col("name")), "Use geodesic distances, or an equidistant projection centred on the data", F.col("most"))
 

@@ -12,7 +12,7 @@ from geodiag.errors import ConfigError, GeodiagError
 from geodiag.model import WORLD, CheckContext, Dataset
 from geodiag.operators import compare, fix as repairs, profile as profiles, rules, score as scores, xray as distortion
 from geodiag.operators.explain import explain as explain_codes
-from geodiag.operators.recommend import recommend
+from geodiag.operators.recommend import recommend, recommend_measured
 from geodiag.reports import sinks
 from geodiag.sources.files import read_file
 
@@ -35,13 +35,16 @@ def xray(spark: SparkSession, path: str, config: Config | None = None, top: int
     bounds = (b.min_x, b.min_y, b.max_x, b.max_y) if b is not None else WORLD
     samples = distortion.sample_layer(data.features, source, config.xray.max_samples, config.mode).cache()
     extent = data.layers.select("layer_idx", F.coalesce("bounds", F.struct(*(F.lit(v).alias(n) for v, n in zip(WORLD, ("min_x", "min_y", "max_x", "max_y"))))).alias("bounds"))
-    best = recommend(extent, config.xray.top_recommendations if top is None else top)
+    top = config.xray.top_recommendations if top is None else top
+    best = recommend(extent, top)
+    x = config.xray
+    measured = recommend_measured(samples, extent, data.layers, x.optimize_for, top, x.include_crs, x.exclude_crs, config.mode)
     grid = distortion.heatmap(samples, bounds)
-    out = {"file_path": path, "source_crs": source, "summary": _rows(distortion.summary(samples))[0], "samples": _rows(samples.drop("layer_idx", "feat_idx", "sample_idx").orderBy("lon", "lat")), "recommendations": _rows(best.drop("layer_idx", "rank").orderBy(F.desc("fitness")))}
+    out = {"file_path": path, "source_crs": source, "summary": _rows(distortion.summary(samples))[0], "samples": _rows(samples.drop("layer_idx", "feat_idx", "sample_idx").orderBy("lon", "lat")), "recommendations": _rows(best.drop("layer_idx", "rank").orderBy(F.desc("fitness"))), "candidates": _rows(measured.drop("layer_idx").orderBy("rank"))}
     cells = _rows(grid.orderBy("row", "col").select("value"))
     n = distortion.GRID
     out["heatmap"] = {"bounds": list(bounds), "cols": n, "rows": n, "values": [c["value"] for c in cells], "cell_width": max((bounds[2] - bounds[0]) / n, 0.001 if bounds[2] <= bounds[0] else 0), "cell_height": max((bounds[3] - bounds[1]) / n, 0.001 if bounds[3] <= bounds[1] else 0)}
-    out["ellipses"] = _rows(distortion.ellipses(samples).drop("sample_idx"))
+    out["ellipses"] = _rows(distortion.ellipses(samples).drop("sample_idx", "layer_idx"))
     if geometry:
         out["ellipse_features"] = sinks.feature_collection(sinks.ellipse_features(distortion.ellipses(samples)))
         out["heatmap_features"] = sinks.feature_collection(sinks.heatmap_features(distortion.heatmap_cells(grid, bounds)))
