@@ -170,12 +170,25 @@ def test_recall_of_fuzzy_passages(spark, every, size):
 
 def test_packed_occurrences_come_back():
     r = np.random.default_rng(1)
-    for n in (1, 7, 1000):
+    for n in (1, 7, 1000):  # ids that no occurrence has don't travel
         h, row, pos = np.sort(r.integers(0, 1 << substrings.BITS, n).astype(np.uint64)), r.integers(0, 9, n), r.integers(0, 1 << 32, n)
         free, ids = r.random(n) < 0.5, r.integers(-(1 << 63), 1 << 63 - 1, 9)
         n_docs, packed = substrings._pack(h, row, pos, free, ids)
-        got = substrings._unpack(n, n_docs, pa.py_buffer(packed))
-        assert all((a == b).all() for a, b in zip(got, (h, ids[row], pos, free)))
+        got = substrings._Packed(n, n_docs, pa.py_buffer(packed))
+        some = np.flatnonzero(r.random(n) < 0.6)
+        assert (got.hash == h).all() and all((a == b[some]).all() for a, b in zip(got.places(some), (ids[row], pos, free)))
+
+
+def test_long_shingles_are_equal_where_words_are():
+    r = np.random.default_rng(2)
+    h = r.integers(0, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for n in (1, 6, 50):
+        at = np.arange(len(h) - n + 1)
+        x = substrings.long_shingles(h, at, n)
+        same = {}
+        for i in at.tolist():
+            same.setdefault(h[i : i + n].tobytes(), set()).add(int(x[i]))
+        assert all(len(v) == 1 for v in same.values()) and len({v for s in same.values() for v in s}) == len(same)
 
 
 def test_passages_of_odd_tables(spark):
