@@ -37,6 +37,38 @@ def check_files(files: DataFrame) -> DataFrame:
     return out.select(*[c.split()[0] for c in _top_level(FINDING)])
 
 
+def check_footers(footers: DataFrame) -> DataFrame:
+    """Findings of the ``cloud/`` rules over Parquet footers (:func:`geodiag.sources.geoparquet.footers`): compression, spatial index, system."""
+    file = footers.groupBy("path").agg(
+        F.bool_and(F.coalesce(F.col("codec") == "UNCOMPRESSED", F.lit(True))).alias("plain"), F.count("column").alias("chunks"), F.max("geo").alias("geo"), F.max("n_bytes").alias("n_bytes"),
+        F.coalesce(F.bool_or(F.col("column").rlike(r"^bbox[.]|^(xmin|minx|min_x)$")), F.lit(False)).alias("boxed"), F.lit(0).alias("layer_idx"),
+    )
+    geo = F.col("geo")
+    indexed = F.col("boxed") | F.coalesce(geo.rlike(r'"covering"\s*:\s*[{]'), F.lit(False))
+
+    def rule(rows, id, severity, text, advice):
+        return findings(rows, id, severity, F.concat("path", F.lit(text)), at_layer(F.col("path")), advice, F.col("n_bytes"), sub=F.col("path"))
+
+    out = rule(file.where("plain and chunks > 0"), "cloud/compression", "info", " uses no compression", "Write it with Zstandard compression")
+    out = out.unionByName(rule(file.where(~indexed), "cloud/spatial-index", "warning", " has no bounding boxes, so spatial queries read all of it", "Write a bbox column and name it as the geometry's covering"))
+    out = out.unionByName(rule(file.where(geo.isNull()), "cloud/crs-metadata", "error", " has no geo key", "Write GeoParquet metadata with the coordinate system"))
+    return out.unionByName(rule(file.where(geo.rlike(r'"crs"\s*:\s*null')), "cloud/crs-metadata", "error", " doesn't say its coordinate system", "Write the coordinate system to the geo key"))
+
+
+def group_boxes(footers: DataFrame) -> DataFrame:
+    """``path, row_group, n_rows, min_x, min_y, max_x, max_y`` of row groups whose bbox columns have statistics: what a reader skips by."""
+    of = lambda c, v: F.max(F.when(F.col("column") == f"bbox.{c}", F.col(v))).alias(c)
+    boxes = footers.where("row_group is not null").groupBy("path", "row_group").agg(F.max("group_rows").alias("n_rows"), of("min_x", "least"), of("min_y", "least"), of("max_x", "most"), of("max_y", "most"))
+    return boxes.where("min_x is not null and max_y is not null")
+
+
+def box_share(boxes: DataFrame) -> DataFrame:
+    """``groups, share``: the boxes' areas against that of their extent. 1 where they tile it, as many as there are groups where each spans all of it."""
+    area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    whole = (F.max("max_x") - F.min("min_x")) * (F.max("max_y") - F.min("min_y"))
+    return boxes.agg(F.count(F.lit(1)).alias("groups"), (F.sum(area) / F.when(whole > 0, whole)).alias("share"))
+
+
 def _top_level(ddl: str) -> list[str]:
     out, depth, cur = [], 0, ""
     for ch in ddl:

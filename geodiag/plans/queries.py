@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from geodiag.functions.projections import parameters, project, with_parameters
 from geodiag.model import CheckContext, Dataset
-from geodiag.operators import compare, explain, fix, profile, rules, score, xray
+from geodiag.operators import cloud, compare, explain, fix, profile, rules, score, xray
 from geodiag.operators.recommend import evaluate, recommend, recommend_measured, scope, utm_zone
 from geodiag.reports import sinks
-from geodiag.runtime import materialize
-from geodiag.sources import derived
+from geodiag.runtime import materialize, scratch_path
+from geodiag.sources import derived, geoparquet
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -488,3 +488,24 @@ def findings_geojson(spark, sf_dir):
     g = sinks.finding_features(_all(spark, sf_dir))
     f = F.from_json("feature", "geometry struct<coordinates:array<double>>, properties struct<rule_id:string,severity:string,message:string>")
     return g.select(f.alias("f")).select("f.properties.*", F.concat(F.col("f.geometry.coordinates")[0].cast("string"), F.lit(" "), F.col("f.geometry.coordinates")[1].cast("string")).alias("at"))
+
+
+@query(f"""with {_POINTS} select 'geo' as kind, count(*) as n_rows, min(lon) as min_x, min(lat) as min_y, max(lon) as max_x, max(lat) as max_y, 'ZSTD' as codecs, '' as findings from points
+union all select 'plain', count(*), null, null, null, null, 'UNCOMPRESSED', 'cloud/compression,cloud/crs-metadata,cloud/spatial-index' from points
+union all select 'snappy', count(*), null, null, null, null, 'SNAPPY', 'cloud/crs-metadata,cloud/spatial-index' from points""")
+def geoparquet_footers(spark, sf_dir):
+    """All points written as GeoParquet and as two plain Parquet tables; what their footers say."""
+    root = scratch_path(spark, "footers")
+    features = derived.points(spark, sf_dir).features
+    geoparquet.write(features, f"{root}/geo", "EPSG:4326").count()
+    flat = features.select("feat_idx", "id", F.to_json("geom").alias("geom"))
+    flat.write.option("compression", "none").parquet(f"{root}/plain")
+    flat.write.option("compression", "snappy").parquet(f"{root}/snappy")
+    read = materialize(geoparquet.footers(spark, root), "footer-rows")  # read several times
+    kind = F.regexp_extract("path", "/(geo|plain|snappy)/[^/]+$", 1).alias("kind")
+    rows = read.select(kind, "path", "n_rows").distinct().groupBy("kind").agg(F.sum("n_rows").alias("n_rows"))
+    boxes = cloud.group_boxes(read).groupBy(kind).agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+    codecs = read.groupBy(kind).agg(F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"))  # a handful
+    told = cloud.check_footers(read).select(F.col("sub_key").alias("path"), "rule_id").groupBy(kind).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("findings"))
+    out = rows.join(boxes, "kind", "left").join(codecs, "kind", "left").join(told, "kind", "left")
+    return out.withColumn("findings", F.coalesce("findings", F.lit("")))
