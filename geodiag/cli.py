@@ -36,6 +36,9 @@ def parser() -> argparse.ArgumentParser:
     f = command("fix", "file")
     f.add_argument("--reproject")
     f.add_argument("--topology", action="store_true")
+    f.add_argument("--snap", type=float, metavar="TOLERANCE")
+    f.add_argument("--schema", action="store_true")
+    f.add_argument("--preview", action="store_true")
     f.add_argument("--in-place", action="store_true")
     w = command("watch", "dir")
     w.add_argument("--results")
@@ -96,7 +99,7 @@ def _run(a, spark) -> int:
             layers = {k: sinks.feature_collection(sinks.layer_features(read_file(spark, p))) for k, p in (("left", a.left), ("right", a.right))}
         dump(r) if a.json else print(f"Left features:  {r['left_features']}\nRight features: {r['right_features']}\nAdded: {r['added']}\nRemoved: {r['removed']}\nExtent changed: {str(r['extent_changed']).lower()}")
     elif a.command == "fix":
-        r, layers, title = api.fix(spark, a.file, a.reproject, a.topology, a.in_place), {}, "Fix"
+        r, layers, title = api.fix(spark, a.file, a.reproject, a.topology, a.in_place, a.snap, a.schema, a.preview), {}, "Fix"
         dump(r) if a.json else print("\n".join([f"Fixed {r['input_file']} -> {r['output_file']}", f"Updated features: {r['updated_features']}", *(f"- {x}" for x in r["actions"])]))
     elif a.command == "watch":
         from geodiag.runtime import scratch_path

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geodiag.config import Config
 from geodiag.errors import ConfigError, GeodiagError
 from geodiag.model import WORLD, CheckContext, Dataset
-from geodiag.operators import compare, fix as repairs, profile as profiles, rules, score as scores, xray as distortion
+from geodiag.operators import compare, fix as repairs, profile as profiles, rules, schema as schemas, score as scores, snap as snapping, xray as distortion
 from geodiag.operators.explain import explain as explain_codes
 from geodiag.operators.recommend import recommend, recommend_measured
 from geodiag.reports import sinks
@@ -82,17 +82,33 @@ def diff(spark: SparkSession, left: str, right: str) -> dict:
     return _rows(report)[0] | {"changes": _rows(compare.changes(report))}
 
 
-def fix(spark: SparkSession, path: str, reproject: str | None = None, topology: bool = False, in_place: bool = False) -> dict:
-    """One repair, reprojection if both are asked for; writes a GeoJSON file beside the input, or over it if it's GeoJSON."""
-    data = read_file(spark, path)
+def fix(spark: SparkSession, path: str, reproject: str | None = None, topology: bool = False, in_place: bool = False, snap: float | None = None, schema: bool = False, preview: bool = False) -> dict:
+    """One repair, the first of those asked for in the order of the arguments; with ``preview`` what it would change, and nothing is written.
+
+    Snapping and schema repair tell the findings of their rules before and after under ``verified``. Writes a GeoJSON file beside the input, or over it if it's GeoJSON."""
+    data, changes, checked = read_file(spark, path), [], ()
     if reproject:
         out, report = repairs.reproject_dataset(data, reproject)
         suffix = "_fixed"
     elif topology:
         out, report = repairs.heal(data)
         suffix = "_topology_fixed"
+    elif snap is not None:
+        out, counts = snapping.snap(data, snap)
+        report, suffix = repairs._report(data, counts.agg(F.sum("features").alias("updated_features")), [f"Snapped polygons within {snap}"]), "_snapped"
+        checked = ("data/topology-gaps", "data/topology-overlaps")
+    elif schema:
+        out, suffix, checked = schemas.normalize(data), "_schema_fixed", ("data/schema-validate",)
+        changes = _rows(schemas.preview(data).orderBy("layer_idx", "field"))
+        changed = data.features.select("layer_idx", "feat_idx", F.col("properties").alias("p")).join(out.features.select("layer_idx", "feat_idx", "properties"), ["layer_idx", "feat_idx"]).where(F.to_json(F.array_sort(F.map_entries("p"))) != F.to_json(F.array_sort(F.map_entries("properties"))))
+        report = repairs._report(data, changed.agg(F.count(F.lit(1)).alias("updated_features")), ["Normalized field types"])
     else:
-        raise ConfigError("Specify --reproject <CRS> or --topology")
+        raise ConfigError("Specify --reproject <CRS>, --topology, --snap <tolerance> or --schema")
+    extra = {"changes": changes} if changes else {}
+    if preview:
+        return _rows(report)[0] | extra
+    if checked:
+        extra["verified"] = _rows(schemas.verify(data, out, checked).orderBy("rule_id", "severity"))
     stem, ext = os.path.splitext(path)
     if in_place and ext.lower() not in (".geojson", ".json"):
         raise GeodiagError("only GeoJSON files can be overwritten")
@@ -102,7 +118,7 @@ def fix(spark: SparkSession, path: str, reproject: str | None = None, topology:
     with open(target + ".tmp", "w", encoding="utf-8") as f:
         f.write(text)
     os.replace(target + ".tmp", target)
-    return row | {"output_file": target}
+    return row | extra | {"output_file": target}
 
 
 def profile(spark: SparkSession, path: str) -> dict:

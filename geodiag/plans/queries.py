@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geodiag.functions.projections import parameters, project, with_parameters
 from geodiag.model import CheckContext, Dataset
-from geodiag.operators import cloud, compare, explain, fix, profile, rules, score, xray
+from geodiag.operators import cloud, compare, explain, fix, profile, rules, schema, score, snap, xray
 from geodiag.operators.recommend import evaluate, recommend, recommend_measured, scope, utm_zone
 from geodiag.reports import sinks
 from geodiag.runtime import materialize, scratch_path
@@ -370,6 +370,54 @@ def fix_reproject(spark, sf_dir):
     return moved.select("layer_idx", "feat_idx", (F.round(p["x"], 3) + 0.0).alias("x"), (F.round(p["y"], 3) + 0.0).alias("y"))
 
 
+_TYPED = f"""with {_POINTS}, values as (select layer_idx, feat_idx, field, json_type(props, '$.' || field) as jt, props ->> ('$.' || field) as v from (select *, unnest(json_keys(props)) as field from points)),
+counts as (select layer_idx, field, count(*) as n, count(*) filter (where jt = 'VARCHAR') as texts, count(*) filter (where jt in ('UBIGINT', 'BIGINT', 'DOUBLE')) as numbers, count(*) filter (where jt = 'VARCHAR' and try_cast(trim(v) as double) is not null) as readable from values group by 1, 2),
+preview as (select c.layer_idx, c.field, case when numbers = n then 'number' when texts = n then 'string' when numbers > 0 and numbers + readable = n then 'number' else 'string' end as target, n as n_values, case when numbers = n or texts = n then 0 when numbers + readable = n then texts else numbers end as n_cast, 0 as n_null, s.k - n as n_added
+from counts c join (select layer_idx, count(*) as k from points group by 1) s using (layer_idx)) """
+
+
+@query(_TYPED + "select * from preview")
+def fix_schema_preview(spark, sf_dir):
+    return schema.preview(derived.points(spark, sf_dir))
+
+
+@query(_TYPED + "select p.layer_idx, p.feat_idx, r.field, case when v.v is null then 'null' when r.target = 'string' then '\"' || v.v || '\"' else v.v end as value from points p join preview r using (layer_idx) left join values v on p.layer_idx = v.layer_idx and p.feat_idx = v.feat_idx and r.field = v.field")
+def fix_schema(spark, sf_dir):
+    """Every value after normalisation."""
+    return schema.normalize(derived.points(spark, sf_dir)).features.select("layer_idx", "feat_idx", F.explode("properties").alias("field", "value"))
+
+
+@query(f"""with {_POINTS}, firsts as (select layer_idx, min_by(props, feat_idx) as fp, min(feat_idx) as ff from points group by 1),
+c as (select count(*) filter (where props = '{{}}' or (json_type(props, '$.k') = 'VARCHAR') <> (json_type(fp, '$.k') = 'VARCHAR')) as wrong, count(*) filter (where props = '{{}}') as empty from points join firsts using (layer_idx) where feat_idx > ff and fp <> '{{}}')
+select 'data/schema-validate' as rule_id, 'error' as severity, wrong as before, 0 as after from c where wrong > 0 union all select 'data/schema-validate', 'warning', 0, empty from c where empty > 0""")
+def fix_schema_verify(spark, sf_dir):
+    """Schema findings before and after: type errors and missing fields go, values that were missing are reported as nulls."""
+    data = derived.points(spark, sf_dir)
+    return schema.verify(data, schema.normalize(data))
+
+
+# a vertex of a moved square goes to the unmoved place beside it if another square has a vertex there
+_SNAPPED = """with q as (select o_orderkey as k, o_orderkey % 211 as x, o_orderkey // 211 as y, o_orderkey % 3 = 0 as moved from orders),
+places as (select distinct x + 1 as x, y from q union select x + 1, y + 1 from q union select x, y from q where not moved union select x, y + 1 from q where not moved),
+s as (select k, x, y, case when moved and a.ax is null then 1e0 / 2048 else 0e0 end as low, case when moved and b.bx is null then 1e0 / 2048 else 0e0 end as high from q left join (select x as ax, y as ay from places) a on ax = x and ay = y left join (select x as bx, y as beside from places) b on bx = x and beside = y + 1) """
+
+
+@query(_SNAPPED + "select k as feat_idx, x + low as low_x, x + high as high_x, round(1 - (low + high) / 2, 9) as area from s")
+def fix_snap(spark, sf_dir):
+    """Squares with slits, snapped within 0.001."""
+    healed, _ = snap.snap(_slits(spark, sf_dir), 0.001)
+    ring = F.col("geom.parts")[0]["rings"][0]
+    steps = F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda a, i: a + (ring[i - 1]["x"] - ring[0]["x"]) * (ring[i]["y"] - ring[0]["y"]) - (ring[i]["x"] - ring[0]["x"]) * (ring[i - 1]["y"] - ring[0]["y"]))
+    return healed.features.select("feat_idx", ring[0]["x"].alias("low_x"), ring[3]["x"].alias("high_x"), F.round(steps / 2, 9).alias("area"))
+
+
+@query(SQL["rule_topology_gaps"].join(("select 'data/topology-gaps' as rule_id, 'warning' as severity, count(*) as before, 0 as after from (", ") having count(*) > 0")))
+def fix_snap_verify(spark, sf_dir):
+    """Gaps before and after: none is left."""
+    data = _slits(spark, sf_dir)
+    return schema.verify(data, snap.snap(data, 0.001)[0], ("data/topology-gaps",))
+
+
 _SYSTEMS = ("EPSG:3857", "EPSG:6933", "EPSG:5070", "EPSG:3089")
 #: where each of the systems below is used
 _AREAS = {"EPSG:3857": (-180, -80, 180, 80), "EPSG:6933": (-180, -80, 180, 80), "EPSG:5070": (-130, 20, -65, 55), "EPSG:3089": (-90, 36, -82, 40), "EPSG:3035": (-15, 32, 45, 72), "EPSG:32616": (-91, -80, -83, 80), "ESRI:54009": (-180, -80, 180, 80), "ESRI:54030": (-180, -80, 180, 80), "EPSG:2163": (-130, 20, -65, 55), "EPSG:3826": (110, 15, 130, 35)}
