@@ -361,7 +361,16 @@ def boundary_gaps(ctx: CheckContext, tolerance: float) -> DataFrame:
     def least(u, v):
         return F.array_min(F.transform(u, lambda a: F.array_min(F.transform(v, lambda s: distance(a["p"], s)))))
 
-    gap = F.least(least(F.col("s_a"), F.col("s_b")), least(F.col("s_b"), F.col("s_a")))
+    def beside(segments, box):
+        lo, hi = (lambda e, c: F.least(e["p"][c], e["q"][c]) - tolerance), (lambda e, c: F.greatest(e["p"][c], e["q"][c]) + tolerance)
+        return F.filter(segments, lambda e: (lo(e, "x") <= box["max_x"]) & (hi(e, "x") >= box["min_x"]) & (lo(e, "y") <= box["max_y"]) & (hi(e, "y") >= box["min_y"]))
+
+    starts = lambda u: F.transform(u, lambda e: e["p"])
+    # only edges beside the other's box can be as near as that; a common vertex tells that there is no gap
+    boxes = F.struct(g.bbox(F.col("geom_a")).alias("a"), g.bbox(F.col("geom_b")).alias("b"))
+    edges = lambda x: F.struct(beside(F.col("s_a"), x["b"]).alias("u"), beside(F.col("s_b"), x["a"]).alias("v"))
+    measured = lambda n: F.when(F.arrays_overlap(starts(n["u"]), starts(n["v"])), 0.0).otherwise(F.least(least(n["u"], n["v"]), least(n["v"], n["u"])))
+    gap = g.let(boxes, lambda x: g.let(edges(x), measured))
     # one evaluation of the distance for each pair: a filter on a computed column would repeat it
     close = near.withColumn("gap", F.explode(F.filter(F.array(gap), lambda x: (x > 0) & (x <= tolerance))))
     return close.where(~overlap())
