@@ -371,9 +371,10 @@ def boundary_gaps(ctx: CheckContext, tolerance: float) -> DataFrame:
     edges = lambda x: F.struct(beside(F.col("s_a"), x["b"]).alias("u"), beside(F.col("s_b"), x["a"]).alias("v"))
     measured = lambda n: F.when(F.arrays_overlap(starts(n["u"]), starts(n["v"])), 0.0).otherwise(F.least(least(n["u"], n["v"]), least(n["v"], n["u"])))
     gap = g.let(boxes, lambda x: g.let(edges(x), measured))
-    # one evaluation of the distance for each pair: a filter on a computed column would repeat it
-    close = near.withColumn("gap", F.explode(F.filter(F.array(gap), lambda x: (x > 0) & (x <= tolerance))))
-    return close.where(~overlap())
+    # one evaluation of the distance for each pair: a filter on a computed column would repeat it,
+    # and one on overlaps alone would be pushed below it and run for all pairs
+    close = near.withColumn("gap", F.explode(F.filter(F.array(gap), lambda x: (x > 0) & (x <= tolerance) & ~overlap())))
+    return close
 
 
 @rule("data/topology-gaps", "Topology Gaps", "data_quality", "warning", 0.7, ("topology",), can_fix=True)
