@@ -42,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--in-place", action="store_true")
     w = command("watch", "dir")
     w.add_argument("--results")
+    w.add_argument("--changes", help="folder for changes of each file's score")
+    w.add_argument("--state", help="folder of the streams' checkpoints, to go on from there")
     w.add_argument("--once", action="store_true")
     command("init").add_argument("--force", action="store_true")
     command("profile", "file")
@@ -103,10 +105,15 @@ def _run(a, spark) -> int:
         dump(r) if a.json else print("\n".join([f"Fixed {r['input_file']} -> {r['output_file']}", f"Updated features: {r['updated_features']}", *(f"- {x}" for x in r["actions"])]))
     elif a.command == "watch":
         from geodiag.runtime import scratch_path
-        from geodiag.streaming.watch import watch
-
-        q = watch(spark, a.dir, a.results or scratch_path(spark, "watch"), scratch_path(spark, "watch-state"), config, a.once)
-        q.awaitTermination()
+        from geodiag.streaming.watch import watch, watch_changes
+
+        results, state = a.results or scratch_path(spark, "watch"), a.state or scratch_path(spark, "watch-state")
+        told = [lambda: watch(spark, a.dir, results, f"{state}/checks", config, a.once)]
+        if a.changes:
+            told.append(lambda: watch_changes(spark, results, a.changes, f"{state}/changes", a.once))
+        # once: the second stream reads what the first has written
+        for q in (start() for start in told) if a.once else [start() for start in told]:
+            q.awaitTermination()
         return 0
     else:
         r = api.profile(spark, a.file) if a.command == "profile" else api.explain(spark, a.crs)

@@ -1,24 +1,34 @@
 """Continuous checking of a folder with Structured Streaming.
 
-New files come by Spark's file source. Changed files have their modification time in their
-offset: :class:`ChangedFiles` is a stream source over (time, path) and gives a row for each
-change, so a rewritten file is checked again.
+Changed files have their modification time in their offset: :class:`ChangedFiles` is a stream
+source over (time, path) and gives a row for each change, so a rewritten file is checked again.
+A second stream, over the results, keeps each file's last score in state and tells changes.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from geodiag.config import Config
 from geodiag.errors import GeodiagError
 from geodiag.model import CheckContext
 from geodiag.operators import rules, score
+from geodiag.runtime import ship
+from geodiag.sources.geoparquet import open_folder
 
 RESULTS = "path string, findings long, overall int, grade string, checked timestamp"
+CHANGES = "path string, checked timestamp, event string, findings long, overall int, grade string, previous int, change int, checks long"
+#: files of a batch that are checked at once, and results that are written at once
+AT_ONCE, BLOCK = 4, 64
 
 
 class _Changes(SimpleDataSourceStreamReader):
@@ -71,16 +81,19 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("changed_files").load(folder)
 
 
-def check_file(spark: SparkSession, path: str, config: Config) -> DataFrame | None:
+def check_file(spark: SparkSession, path: str, config: Config) -> Row | None:
     """One row of :data:`RESULTS`; None if the file isn't a readable dataset."""
     from geodiag.sources.files import read_file
 
     try:
         found = rules.run_checks(CheckContext(read_file(spark, path), config)).cache()
-        total = score.overall(score.categories(found, config), found)
-        return total.select(F.lit(path).alias("path"), F.col("finding_count").alias("findings"), "overall", "grade", F.current_timestamp().alias("checked"))
     except GeodiagError:
         return None
+    try:
+        total = score.overall(score.categories(found, config), found)
+        return total.select(F.lit(path).alias("path"), F.col("finding_count").alias("findings"), "overall", "grade", F.current_timestamp().alias("checked")).first()
+    finally:
+        found.unpersist()
 
 
 def watch(spark: SparkSession, folder: str, results: str, checkpoint: str, config: Config | None = None, once: bool = False):
@@ -88,15 +101,101 @@ def watch(spark: SparkSession, folder: str, results: str, checkpoint: str, confi
     config = config or Config()
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        # a batch names the files that changed since the last one, not their rows
-        for r in batch.groupBy("path").agg(F.max("mtime")).select("path").toLocalIterator():
-            if (row := check_file(spark, r.path, config)) is not None:
-                row.write.mode("append").parquet(results)
+        # a batch names the files that changed since the last one, not their rows; each gives one row
+        paths = (r.path for r in batch.select("path").distinct().toLocalIterator())
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            while block := list(islice(paths, BLOCK)):
+                if rows := [r for r in pool.map(lambda p: check_file(spark, p, config), block) if r is not None]:
+                    spark.createDataFrame(rows, RESULTS).coalesce(1).write.mode("append").parquet(results)
 
     writer = changed_files(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+class LastScore(StatefulProcessor):
+    """A file's last score as state, times in microseconds. A timer, renewed by each check, asks after ``silence_ms`` without one whether the file is still there."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "overall int, grade string, findings long, at long, checks long")
+
+    def _wait(self, until: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(until + self.silence_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        out = []
+        known = self.last.get() if self.last.exists() else None
+        known = tuple(known) if known is not None else None
+        # a batch has a file's checks since the last batch, so few
+        for r in sorted(rows, key=lambda r: (r.at, r.overall, r.findings)):
+            if known is not None and r.at <= known[3]:
+                continue  # told again, or overtaken
+            before, checks = (None, 0) if known is None else (known[0], known[4])
+            if known is None or (r.overall, r.findings) != (known[0], known[2]):
+                event = "new" if known is None else "better" if (r.overall, -r.findings) > (known[0], -known[2]) else "worse"
+                out.append(Row(path=key[0], at=r.at, event=event, findings=r.findings, overall=r.overall, grade=r.grade, previous=before, change=None if before is None else r.overall - before, checks=checks + 1))
+            known = (r.overall, r.grade, r.findings, r.at, checks + 1)
+        if known is not None:
+            self.last.update(known)
+            self._wait(max(known[3] // 1000, timerValues.getCurrentWatermarkInMs()))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.last.exists():
+            return iter([])
+        where, path = open_folder(key[0])
+        if where.get_file_info(path).type != fs.FileType.NotFound:
+            self._wait(timerValues.getCurrentWatermarkInMs())
+            return iter([])
+        overall, _, findings, at, checks = self.last.get()
+        self.last.clear()
+        return iter([Row(path=key[0], at=at, event="vanished", findings=findings, overall=None, grade=None, previous=overall, change=None, checks=checks)])
+
+    def close(self) -> None:
+        pass
+
+
+def score_changes(results: DataFrame, silence: int = 600, late: str = "1 minute") -> DataFrame:
+    """Changes of each file's score, from a stream of :data:`RESULTS`, as rows of :data:`CHANGES`.
+
+    ``event``: new (first check, or the first after it vanished), better or worse (by score, then by
+    fewer findings), vanished (gone when asked after ``silence`` seconds of event time without a
+    check; ``checked`` is then its last check's time, ``findings`` that check's). A check that changes
+    nothing only counts in ``checks``; one not later than the last known is ignored, so results that
+    a repeated batch tells again change nothing; one without a path, score, findings or time is
+    ignored. Event time is that of all results, so a folder in which nothing is checked any more
+    tells nothing. Executors must see the files, as they do to check them.
+    """
+    spark = results.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    known = results.where("path is not null and overall is not null and findings is not null and checked is not null").withWatermark("checked", late)
+    told = known.select("path", "findings", "overall", "grade", "checked", F.unix_micros("checked").alias("at")).groupBy("path").transformWithState(LastScore(silence * 1000), CHANGES.replace("checked timestamp", "at long"), "Append", "EventTime")
+    return told.select("path", F.timestamp_micros("at").alias("checked"), "event", "findings", "overall", "grade", "previous", "change", "checks")
+
+
+def watch_changes(spark: SparkSession, results: str, changes: str, checkpoint: str, once: bool = False, silence: int = 600, late: str = "1 minute"):
+    """Append :func:`score_changes` of the Parquet table ``results`` to the table ``changes``; returns the query. Restarted on its checkpoint, it goes on from its state."""
+    where, root = open_folder(results)
+    where.create_dir(root, recursive=True)  # the stream may start before the first result
+    writer = score_changes(spark.readStream.schema(RESULTS).parquet(results), silence, late).writeStream.format("parquet").outputMode("append").option("path", changes).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+def last_scores(results: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """The last row of :data:`RESULTS` for each file, without those that vanished after it by ``changes``; of equal times the higher score, then fewer findings."""
+    last = results.where("path is not null").groupBy("path").agg(F.max_by(F.struct("findings", "overall", "grade", "checked"), F.struct("checked", "overall", (-F.col("findings")).alias("fewer"))).alias("r")).select("path", "r.*")
+    if changes is None:
+        return last
+    gone = changes.where("event = 'vanished'").groupBy("path").agg(F.max("checked").alias("gone"))
+    return last.join(gone, "path", "left").where("gone is null or checked > gone").drop("gone")
+
+
 def score_trend(results: DataFrame, width: str = "1 minute", late: str = "5 minutes") -> DataFrame:
     """Mean and least score of each file in windows of event time; works on a stream of results too."""
     stamped = results.withWatermark("checked", late) if results.isStreaming else results
