@@ -9,6 +9,8 @@ from geodiag.model import FINDING, at_layer
 from geodiag.operators.rules import findings
 
 MB = 1 << 20
+#: how often a FlatGeobuf index may cover its extent
+OVERLAP = 4.0
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +57,22 @@ def check_footers(footers: DataFrame) -> DataFrame:
     return out.unionByName(rule(file.where(geo.rlike(r'"crs"\s*:\s*null')), "cloud/crs-metadata", "error", " doesn't say its coordinate system", "Write the coordinate system to the geo key"))
 
 
+def check_headers(headers: DataFrame) -> DataFrame:
+    """Findings of the ``cloud/`` rules over FlatGeobuf headers (:func:`geodiag.sources.flatgeobuf.headers`): spatial index, system.
+
+    A file without features needs no index. The tree's boxes below its root may cover the root's area :data:`OVERLAP` times before it counts as unsorted.
+    """
+    h = headers.withColumn("layer_idx", F.lit(0))
+
+    def rule(rows, id, severity, text, advice, metric):
+        return findings(rows, id, severity, F.concat("path", text), at_layer(F.col("path")), advice, metric, sub=F.col("path"))
+
+    out = rule(h.where("error is null and n_features > 0 and index_bytes = 0"), "cloud/spatial-index", "warning", F.lit(" has no spatial index, so spatial queries read all of it"), "Write it with a packed Hilbert tree", F.col("n_bytes"))
+    out = out.unionByName(rule(h.where(F.col("share") > OVERLAP), "cloud/spatial-index", "info", F.lit(" has an index whose boxes overlap"), "Sort features along a Hilbert curve before writing", F.col("share")))
+    out = out.unionByName(rule(h.where("error is not null"), "cloud/integrity", "error", F.concat(F.lit(" can't be used: "), "error"), "Write the file anew", F.col("n_bytes")))
+    return out.unionByName(rule(h.where("n_features is not null and crs is null"), "cloud/crs-metadata", "error", F.lit(" doesn't say its coordinate system"), "Write the coordinate system to the header", F.col("n_bytes")))
+
+
 def group_boxes(footers: DataFrame) -> DataFrame:
     """``path, row_group, n_rows, min_x, min_y, max_x, max_y`` of row groups whose bbox columns have statistics: what a reader skips by."""
     of = lambda c, v: F.max(F.when(F.col("column") == f"bbox.{c}", F.col(v))).alias(c)

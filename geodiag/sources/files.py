@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geodiag.errors import ReadError, UnsupportedFormat
 from geodiag.model import FEATURE, GEOM, Dataset, compute_layers
-from geodiag.sources import geojson, shapefile
+from geodiag.sources import flatgeobuf, geojson, shapefile
 
 # fixed values: formats by ending
 ENDINGS = {"geojson": "geojson", "json": "geojson", "shp": "shapefile", "fgb": "flatgeobuf", "gpkg": "geopackage", "geojsonl": "sequence", "geojsons": "sequence", "parquet": "geoparquet", "geoparquet": "geoparquet"}
@@ -38,45 +38,10 @@ def read_file(spark: SparkSession, path: str, exact: bool = False) -> Dataset:
     raise UnsupportedFormat("GeoPackage reading is not supported yet")
 
 
-class _Table:
-    """Field access in a FlatBuffers table."""
-
-    def __init__(self, buf: bytes, at: int):
-        self.buf, self.at = buf, at
-        self.vtable = at - struct.unpack_from("<i", buf, at)[0]
-        self.size = struct.unpack_from("<H", buf, self.vtable)[0]
-
-    def offset(self, i: int) -> int:
-        slot = 4 + 2 * i
-        o = struct.unpack_from("<H", self.buf, self.vtable + slot)[0] if slot < self.size else 0
-        return self.at + o if o else 0
-
-    def number(self, i: int, kind: str, default=0):
-        o = self.offset(i)
-        return struct.unpack_from("<" + kind, self.buf, o)[0] if o else default
-
-    def table(self, i: int) -> _Table | None:
-        o = self.offset(i)
-        return _Table(self.buf, o + struct.unpack_from("<I", self.buf, o)[0]) if o else None
-
-
-def flatgeobuf_header(data: bytes) -> tuple[int, str | None]:
-    """Feature count and CRS of a FlatGeobuf file's first bytes."""
-    if data[:3] != b"fgb":
-        raise ReadError("not a FlatGeobuf file")
-    root = _Table(data, 12 + struct.unpack_from("<I", data, 12)[0])
-    crs = root.table(10)  # header: name, envelope, type, four flags, columns, count, index node size, crs
-    code = crs.number(1, "i") if crs else 0
-    return root.number(8, "Q"), f"EPSG:{code}" if code > 0 else None
-
-
 def read_flatgeobuf(spark: SparkSession, path: str) -> Dataset:
     """As many features as the header counts, without geometry and properties."""
-    try:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("h")).first()
-    except Exception as e:
-        raise ReadError(str(e).splitlines()[0]) from e
-    n, crs = flatgeobuf_header(bytes(head.h))
+    head = flatgeobuf.read_header(path)
+    n, crs = head.n_features, head.crs
     features = spark.range(n).select(F.lit(0).alias("layer_idx"), F.col("id").alias("feat_idx"), F.lit(None).cast("string").alias("i"), F.lit(None).cast(GEOM).alias("geom"), F.create_map().cast("map<string,string>").alias("properties")).withColumnRenamed("i", "id")
     layers = spark.createDataFrame([(0, path, crs)], "layer_idx int, name string, crs string")
     return Dataset(compute_layers(features, layers), features, path)
