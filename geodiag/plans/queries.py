@@ -12,6 +12,7 @@ from geodiag.operators.recommend import evaluate, recommend, recommend_measured,
 from geodiag.reports import sinks
 from geodiag.runtime import materialize, scratch_path
 from geodiag.sources import derived, geoparquet
+from geodiag.streaming import watch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -557,3 +558,20 @@ def geoparquet_footers(spark, sf_dir):
     told = cloud.check_footers(read).select(F.col("sub_key").alias("path"), "rule_id").groupBy(kind).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("findings"))
     out = rows.join(boxes, "kind", "left").join(codecs, "kind", "left").join(told, "kind", "left")
     return out.withColumn("findings", F.coalesce("findings", F.lit("")))
+
+
+@query("""with r as (select 'customer/' || o_custkey as path, 98 + o_orderkey % 3 as overall, o_orderkey % 2 as findings, o_orderdate as checked from orders),
+t as (select *, row_number() over (partition by path, checked order by overall, findings) as k from r),
+s as (select *, lag(overall) over w as previous, lag(findings) over w as had, row_number() over w as checks from t where k = 1 window w as (partition by path order by checked))
+select path, cast(checked as date) as day, case when had is null then 'new' when overall > previous or overall = previous and findings < had then 'better' else 'worse' end as event,
+findings, cast(overall as int) as overall, cast(previous as int) as previous, cast(overall - previous as int) as change, checks from s where had is null or overall <> previous or findings <> had""")
+def watch_score_changes(spark, sf_dir):
+    """Orders as checks of files named by customers: two streams, the second started on the first one's checkpoint, tell changes of each file's score."""
+    root = scratch_path(spark, "watched")
+    key = F.col("o_orderkey")
+    checks = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("customer/"), "o_custkey").alias("path"), (key % 2).alias("findings"), (98 + key % 3).cast("int").alias("overall"), F.lit("A").alias("grade"), F.col("o_orderdate").cast("timestamp").alias("checked"))
+    for when in ("checked < '1995-01-01'", "checked >= '1995-01-01'"):
+        checks.where(when).write.mode("append").parquet(f"{root}/results")
+        # no silence: the files don't exist
+        watch.watch_changes(spark, f"{root}/results", f"{root}/changes", f"{root}/state", once=True, silence=10**10).awaitTermination()
+    return spark.read.parquet(f"{root}/changes").select("path", F.to_date("checked").alias("day"), "event", "findings", "overall", "previous", "change", "checks")
