@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geodiag.llm.tables import table
-from geodiag.runtime import materialize, parallelism, scratch_path, ship
+from geodiag.runtime import discard, materialize, parallelism, scratch_path, ship
 
 #: bytes of payload after which a writer begins another archive
 ROLL = 32 << 20
@@ -110,17 +110,21 @@ MANIFEST = "archive string, n_records long"
 INDEX = "archive string, start long, size long, record_id string, kind string"
 
 
-def decide(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Digest each payload and choose response or revisit: the smallest page_id of equal payloads of ``least`` bytes or more is the response."""
+def decide(pages: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Digest each payload and choose response or revisit: the smallest page_id of equal payloads of ``least`` bytes or more is the response.
+
+    Returns the rows, and the written table of ids and digests that they read, for the caller to discard.
+    Ids and digests alone meet by digest. What they tell, the revisits, meets payloads by page_id: broadcast where Catalyst finds
+    it small, else one exchange without hot keys, as rows that can't be revisits are spread by a number of their own.
+    """
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.select("*", F.sha2(F.encode("payload", "UTF-8"), 256).alias("digest"))
-    long = F.octet_length("payload") >= least
-    # ids alone are counted and combined before their shuffle; short payloads, which may well be equal, take part in no join
-    first = p.where(long).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = p.where(long).join(first, F.col("digest") == F.col("same"), "left")
-    columns = ["page_id", "url", "payload", "digest"]
-    decided = joined.select(*columns, F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
-    return decided.unionByName(p.where(~long).select(*columns, F.lit(None).cast("long").alias("refers_to")))
+    able = (F.octet_length("payload") >= least) & F.col("page_id").isNotNull()
+    keys = materialize(p.where(able).select("page_id", F.unhex("digest").alias("same")), "digests")
+    first = keys.groupBy("same").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    revisits = keys.join(first, "same").where("page_id > refers_to").distinct().select("page_id", F.lower(F.hex("same")).alias("digest"), F.lit(0).cast("long").alias("spread"), "refers_to")
+    spread = p.withColumn("spread", F.when(able, 0).otherwise(F.monotonically_increasing_id() + 1))
+    return spread.join(revisits, ["page_id", "digest", "spread"], "left").select("page_id", "url", "payload", "digest", "refers_to"), keys
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
@@ -157,7 +161,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["archive", "n_records"])
 
-    return materialize(decide(pages, least).mapInArrow(write, MANIFEST), "manifest")
+    decided, keys = decide(pages, least)
+    manifest = materialize(decided.mapInArrow(write, MANIFEST), "manifest")
+    discard(keys)
+    return manifest
 
 
 def tasks_for(archives: int, most: int) -> int:

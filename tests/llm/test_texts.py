@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from geodiag.llm import chat, licenses, mixing, quality, sampling, scoring, substrings, warc
 from geodiag.llm.lattice import MODEL, Vocabulary, build, forward, load_pieces, posteriors, rank_weights, sample
+from geodiag.runtime import discard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, " \n\t", "word", "a" * 5000, "é 漢字 ▁ ​ 😀", "x " * 3000]
@@ -548,6 +549,29 @@ def test_stretches_sum_like_the_uncut_lattice():
 
 
 # --- 10
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_revisits_by_ids_alone(spark, threshold):
+    rng = random.Random(5)
+    bodies = [None, "", "short", *(f"{k} " * 60 for k in range(6))]
+    rows = [(rng.choice([None, *range(-3, 80)]), rng.choice([None, "u"]), rng.choice(bodies), k) for k in range(300)]
+    rows += [(k, "u", "hot " * 40, 1000 + k) for k in range(100, 250)] + [(7, "u", "1 " * 60, 2000)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, spread long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        decided, keys = warc.decide(pages)
+        got = sorted((str(r.page_id), r.payload, r.refers_to or 0, r.refers_to is None) for r in decided.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    discard(keys)
+    first = {}
+    for i, _, h, _ in rows:
+        if i is not None and h is not None and len(h) >= 100:
+            first[h] = min(i, first.get(h, i))
+    refers = [first[h] if i is not None and h in first and i > first[h] else None for i, _, h, _ in rows]
+    assert got == sorted((str(i), h or "", r or 0, r is None) for (i, _, h, _), r in zip(rows, refers))
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "é" * 200
     rows = [(3, "http://x/ y\r\n", big), (1, None, big), (2, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "<a>\r\n\r\nb" + "z" * 100), (None, "u", big)]
