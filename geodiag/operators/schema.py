@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geodiag.model import CheckContext, Dataset
 from geodiag.operators import rules
+from geodiag.runtime import materialize
 
 _TYPES = ("string", "number", "boolean", "array", "object")
 #: JSON's numbers
@@ -62,10 +63,11 @@ def _quoted(text: Column) -> Column:
 def normalize(data: Dataset) -> Dataset:
     """Every feature with all fields of its layer, each in the field's one type; missing ones are null. Order, ids and geometries stay.
 
-    The fields of a layer meet its features as one small row (the distinct fields of a layer; Catalyst broadcasts it by its size).
+    The fields of a layer meet its features as one small row (the distinct fields of a layer). These rows are written first, so that their
+    size is known when the join is planned: Catalyst then broadcasts them and deals no features by layer, or sorts both if they are large.
     Values of mixed fields become texts: a number or object is its JSON text.
     """
-    fields = preview(data).groupBy("layer_idx").agg(F.sort_array(F.collect_list(F.struct("field", "target"))).alias("fields"))
+    fields = materialize(preview(data).groupBy("layer_idx").agg(F.sort_array(F.collect_list(F.struct("field", "target"))).alias("fields")), "fields")
     made = F.map_from_arrays(F.transform("fields", lambda f: f["field"]), F.transform("fields", lambda f: cast(F.element_at("properties", f["field"]), f["target"])))
     features = data.features.join(fields, "layer_idx", "left").withColumn("properties", F.when(F.col("fields").isNotNull(), made).otherwise(F.col("properties")))
     return Dataset(data.layers, features.select(data.features.columns), data.path)
