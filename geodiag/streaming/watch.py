@@ -113,7 +113,10 @@ def watch(spark: SparkSession, folder: str, results: str, checkpoint: str, confi
 
 
 class LastScore(StatefulProcessor):
-    """A file's last score as state, times in microseconds. A timer, renewed by each check, asks after ``silence_ms`` without one whether the file is still there."""
+    """A file's last score as state, times in microseconds. After ``silence_ms`` without a check it is asked whether the file is still there.
+
+    A file has one timer, which checks don't touch: when it fires before the silence is over, it is set anew.
+    """
 
     def __init__(self, silence_ms: int):
         self.silence_ms = silence_ms
@@ -122,15 +125,9 @@ class LastScore(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "overall int, grade string, findings long, at long, checks long")
 
-    def _wait(self, until: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(until + self.silence_ms)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         out = []
-        known = self.last.get() if self.last.exists() else None
-        known = tuple(known) if known is not None else None
+        known = stored = self.last.get()
         # a batch has a file's checks since the last batch, so few
         for r in sorted(rows, key=lambda r: (r.at, r.overall, r.findings)):
             if known is not None and r.at <= known[3]:
@@ -140,17 +137,18 @@ class LastScore(StatefulProcessor):
                 event = "new" if known is None else "better" if (r.overall, -r.findings) > (known[0], -known[2]) else "worse"
                 out.append(Row(path=key[0], at=r.at, event=event, findings=r.findings, overall=r.overall, grade=r.grade, previous=before, change=None if before is None else r.overall - before, checks=checks + 1))
             known = (r.overall, r.grade, r.findings, r.at, checks + 1)
-        if known is not None:
-            self.last.update(known)
-            self._wait(max(known[3] // 1000, timerValues.getCurrentWatermarkInMs()))
+        self.last.update(tuple(known))
+        if stored is None:
+            self.handle.registerTimer(max(known[3] // 1000, timerValues.getCurrentWatermarkInMs()) + self.silence_ms)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.last.exists():
-            return iter([])
-        where, path = open_folder(key[0])
-        if where.get_file_info(path).type != fs.FileType.NotFound:
-            self._wait(timerValues.getCurrentWatermarkInMs())
+        now, due = timerValues.getCurrentWatermarkInMs(), self.last.get()[3] // 1000 + self.silence_ms
+        if due <= now:
+            where, path = open_folder(key[0])
+            due = now + self.silence_ms if where.get_file_info(path).type != fs.FileType.NotFound else None
+        if due is not None:
+            self.handle.registerTimer(due)
             return iter([])
         overall, _, findings, at, checks = self.last.get()
         self.last.clear()
