@@ -323,6 +323,13 @@ def test_scores(spark):
     assert alone.held_out and (alone.train_tokens, alone.base_score) == (0, 0.0) and math.isfinite(alone.score)
 
 
+def test_op2_scores_held_out_texts_by_what_it_learnt(spark):
+    rows = scoring.op2_lm_scoring(spark, "/root/testdata/sf0.01").collect()
+    held = [x for x in rows if x.held_out]
+    assert all(math.isfinite(x.score) and math.isfinite(x.piece_score) for x in rows)
+    assert len(held) > 5 and sum(x.score for x in held) > sum(x.base_score for x in held) > sum(x.piece_score for x in held)
+
+
 def test_a_text_that_occurs_twice_scores_apart(spark):
     r = random.Random(3)
     texts = [" ".join(f"w{r.randrange(500)}" for _ in range(80)) for _ in range(60)]
