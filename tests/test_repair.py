@@ -137,3 +137,15 @@ def test_fix_files(spark, tmp_path):
     done = api.fix(spark, str(path), schema=True)
     assert done["updated_features"] == 1 and done["changes"][0]["target"] == "string" and done["verified"][0]["after"] == 0
     assert [f["properties"]["k"] for f in json.loads((tmp_path / "a_schema_fixed.geojson").read_text())["features"]] == ["1", "x"]
+
+
+def test_snap_merges_what_grows_with_a_layer(spark):
+    """Lists and vertices that are small as files aren't broadcast, nor are features read twice."""
+    data = dataset(spark, [([box(0, 0, 1, 1)], {}), ([box(1.003, 0, 2, 1)], {})])
+    moves = spark.createDataFrame([(0, 0, [(1.0, 0.0, 1.003, 0.0)])], "layer_idx int, feat_idx long, moves array<struct<x:double,y:double,tx:double,ty:double>>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    changed = snap._apply(data.features, moves, "moves")
+    assert "Broadcast" not in plan(changed) and plan(changed).count("Join") == 1
+    assert {r.feat_idx: r.geom.parts[0].rings[0][1].x for r in changed.collect()} == {0: 1.003, 1: 2.0}
+    # the cell sizes of a layer are one row
+    assert plan(snap.insertions(data.features, snap.vertices(data.features), 0.01)).count("BroadcastExchange") <= 1
