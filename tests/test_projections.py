@@ -126,3 +126,17 @@ def test_layers_of_many_systems_are_one_plan(spark):
     d = {r.layer_idx: r for r in rules.layer_distortion(ctx).collect()}
     assert set(d) == {0, 1, 2, 6} and all(r.sample_count == 3 for r in d.values()) and d[0].max_area_distortion_pct > 30 and d[2].max_area_distortion_pct < 1
     assert {r.layer_idx for r in rules.distance_errors(rules.projected_samples(ctx)).collect()} == {0, 1, 2, 6}
+
+
+def test_a_place_is_computed_once(spark):
+    """The formula of a vertex stands once in its expression, not once for each coordinate and each test."""
+    for crs in ("EPSG:32616", "EPSG:3035"):
+        place = spark.range(1).select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).select(unproject(crs, F.col("x"), F.col("y")).alias("p"))
+        assert place._jdf.queryExecution().analyzed().toString().lower().count("atan2(") == 1
+    # the angle's steps end early where ten reach the last bit
+    for lat in (0.0, -33.0, 84.9, 89.0, 90.0):
+        r = spark.range(1).select(project("ESRI:54009", F.lit(12.0), F.lit(lat)).alias("p")).first().p
+        t = math.radians(lat)
+        for _ in range(60):
+            t -= (t + math.sin(t) - math.pi * math.sin(math.radians(lat))) / (1 + math.cos(t)) if 1 + math.cos(t) > 1e-12 else 0.0
+        assert (r.x, r.y) == pytest.approx((6378137.0 * 2 * math.sqrt(2) / math.pi * math.radians(12) * math.cos(t / 2), 6378137.0 * math.sqrt(2) * math.sin(t / 2)), abs=1e-3)
