@@ -149,3 +149,17 @@ def test_snap_merges_what_grows_with_a_layer(spark):
     assert {r.feat_idx: r.geom.parts[0].rings[0][1].x for r in changed.collect()} == {0: 1.003, 1: 2.0}
     # the cell sizes of a layer are one row
     assert plan(snap.insertions(data.features, snap.vertices(data.features), 0.01)).count("BroadcastExchange") <= 1
+
+
+def test_gaps_of_touching_and_disjoint_boxes(spark, monkeypatch):
+    """Small shapes with a common vertex go before they are measured, shapes with disjoint boxes aren't tested for overlap; results stay."""
+    shapes = [box(0, 0, 1, 1), box(1, 0, 2, 1), box(2.004, 0, 3, 1), box(0, 1.004, 1, 2), [(5, 5), (6, 5), (5.5, 6), (5, 5)], [(5.002, 5.001), (5.2, 5.001), (5.1, 5.1), (5.002, 5.001)]]
+    ctx = CheckContext(dataset(spark, [([s], {}) for s in shapes]))
+    pairs = lambda df: {(r.feat_idx_a, r.feat_idx_b) for r in df.collect()}
+    every, apart = pairs(rules.candidate_pairs(ctx, 0.01)), pairs(rules.candidate_pairs(ctx, 0.01, apart=True))
+    assert every - apart == {(0, 1)} and (1, 2) in apart
+    want = pairs(rules.boundary_gaps(ctx, 0.01))
+    # the triangle inside another one overlaps it
+    assert want == {(1, 2), (0, 3), (1, 3)}
+    monkeypatch.setattr(rules, "SMALL", 0)
+    assert pairs(rules.candidate_pairs(ctx, 0.01, apart=True)) == every and pairs(rules.boundary_gaps(ctx, 0.01)) == want
