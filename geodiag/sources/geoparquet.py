@@ -13,8 +13,11 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,20 +59,51 @@ def encode(geom: dict | None) -> bytes | None:
     return struct.pack("<BII", 1, code, len(parts)) + b"".join(part(p["kind"], p["rings"]) for p in parts)
 
 
+def encode_all(geoms: pa.Array) -> pa.Array:
+    """:func:`encode` of a column; points all at once."""
+    rings = geoms.field("parts").flatten().field("rings").flatten()
+    places = rings.flatten()
+    n = len(geoms)
+    kinds = pc.unique(geoms.field("gtype").filter(geoms.is_valid())).to_pylist()
+    alone = lambda a: pc.all(pc.equal(pc.list_value_length(a), 1)).as_py()
+    parts = geoms.field("parts").filter(geoms.is_valid())
+    whole = geoms.null_count + len(places) == n and places.null_count == 0
+    if kinds != ["Point"] or not (whole and alone(parts) and alone(parts.flatten().field("rings")) and alone(rings)):
+        return pa.array([encode(x) for x in geoms.to_pylist()], pa.binary())
+    made = np.zeros(len(places), np.dtype([("order", "u1"), ("code", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+    made["order"], made["code"], made["x"], made["y"] = 1, 1, places.field("x"), places.field("y")
+    there = np.asarray(geoms.is_valid())
+    off = np.concatenate([[0], np.cumsum(np.where(there, made.dtype.itemsize, 0))]).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(there, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(off.tobytes()), pa.py_buffer(made.tobytes())])
+
+
+def _turns() -> list[int]:
+    """For each turn of the curve (flipped, swapped) and two bits of x and of y: four bits of the place and, in the low two, the next turn."""
+    out = []
+    for turn, x, y in product(range(4), range(4), range(4)):
+        place = 0
+        for k in (1, 0):
+            u, v = x >> k & 1, y >> k & 1
+            if turn & 1:
+                u, v = v, u
+            u, v = u ^ turn >> 1, v ^ turn >> 1
+            place = place << 2 | (3 * u) ^ v
+            turn ^= 0 if v else u << 1 | 1
+        out.append(place << 2 | turn)
+    return out
+
+
 def hilbert(x: Column, y: Column) -> Column:
-    """Place along a Hilbert curve of ``ORDER`` bits for each axis, of two integers of so many bits."""
+    """Place along a Hilbert curve of ``ORDER`` bits for each axis, of two integers of so many bits: two bits of each at a step, by a table."""
+    table = F.lit(_turns()).cast("array<long>")
 
-    def step(s, k):
-        side = k
-        rx, ry = F.when(s["x"].bitwiseAND(side) > 0, 1).otherwise(0), F.when(s["y"].bitwiseAND(side) > 0, 1).otherwise(0)
-        d = s["d"] + side.cast("long") * side.cast("long") * (3 * rx).bitwiseXOR(ry).cast("long")
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, side - 1 - s["x"].bitwiseAND(side - 1)).otherwise(s["x"].bitwiseAND(side - 1)), F.when(flip, side - 1 - s["y"].bitwiseAND(side - 1)).otherwise(s["y"].bitwiseAND(side - 1))
-        return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.alias("d"))
+    def step(a, k):
+        two = lambda c: F.call_function("shiftright", c.cast("long"), k).bitwiseAND(3)
+        at = a.bitwiseAND(3) * 16 + two(x) * 4 + two(y)
+        return a.bitwiseAND(-4) * 16 + table[at.cast("int")]
 
-    start = F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(0).cast("long").alias("d"))
-    sides = F.array(*(F.lit(1 << (ORDER - 1 - k)) for k in range(ORDER)))
-    return F.aggregate(sides, start, lambda s, k: step(s, k))["d"]
+    return F.shiftright(F.aggregate(F.array(*map(F.lit, range(ORDER - 2, -1, -2))), F.lit(0).cast("long"), step), 2)
 
 
 WRITTEN = "name string, n_rows long, n_bytes long"
@@ -110,18 +144,18 @@ def write(features: DataFrame, folder: str, crs: str | None, compression: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            geoms = batch["geom"].to_pylist()
-            kinds |= {x["gtype"] for x in geoms if x}
-            for b in batch["bbox"].to_pylist():
-                if b:
-                    now = [b["min_x"], b["min_y"], b["max_x"], b["max_y"]]
-                    bounds = now if bounds is None else [*map(min, bounds[:2], now[:2]), *map(max, bounds[2:], now[2:])]
+            geoms = batch["geom"]
+            kinds |= set(pc.unique(geoms.field("gtype").filter(geoms.is_valid())).to_pylist())
+            boxes = batch["bbox"].filter(batch["bbox"].is_valid())
+            if len(boxes):
+                now = [f(boxes.field(c)).as_py() for f, c in ((pc.min, "min_x"), (pc.min, "min_y"), (pc.max, "max_x"), (pc.max, "max_y"))]
+                bounds = now if bounds is None else [*map(min, bounds[:2], now[:2]), *map(max, bounds[2:], now[2:])]
             if writer is None:
                 out = there.open_output_stream(f"{staging}/{name}")
                 writer = pq.ParquetWriter(out, schema, compression=compression)
             for a in range(0, batch.num_rows, group):
                 some = batch.slice(a, group)
-                writer.write_table(pa.table([some["id"], pa.array([encode(x) for x in geoms[a : a + group]], pa.binary()), some["bbox"].cast(box), some["properties"].cast(schema.field("properties").type)], schema=schema), row_group_size=group)
+                writer.write_table(pa.table([some["id"], encode_all(some["geom"]), some["bbox"].cast(box), some["properties"].cast(schema.field("properties").type)], schema=schema), row_group_size=group)
             n += batch.num_rows
         if writer is not None:
             writer.add_key_value_metadata({"geo": geo(kinds, bounds).decode()})

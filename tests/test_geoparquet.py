@@ -77,3 +77,41 @@ def test_findings_about_footers(spark, tmp_path):
     assert {"spatial-index", "crs-metadata"} <= got["empty"]
     row = read.where("path like '%bare%' and column = 'v'").first()
     assert (row.n_rows, row.kind, row.codec, row.least, row.most, row.nulls) == (1, "INT64", "UNCOMPRESSED", 1.0, 1.0, 0)
+
+
+def test_hilbert_places_are_those_of_single_bits(spark):
+    import random
+
+    def place(x, y):
+        d, side = 0, 1 << geoparquet.ORDER - 1
+        while side:
+            rx, ry = int(x & side > 0), int(y & side > 0)
+            d += side * side * ((3 * rx) ^ ry)
+            x, y = x & side - 1, y & side - 1
+            if not ry:
+                x, y = (side - 1 - y, side - 1 - x) if rx else (y, x)
+            side //= 2
+        return d
+
+    r = random.Random(2)
+    at = [(r.randrange(1 << 16), r.randrange(1 << 16)) for _ in range(300)] + [(0, 0), (65535, 0), (0, 65535), (65535, 65535)]
+    frame = spark.createDataFrame(at, "x long, y long").select("x", "y", geoparquet.hilbert(F.col("x"), F.col("y")).alias("d"))
+    assert all(row.d == place(row.x, row.y) for row in frame.collect())
+
+
+def test_points_are_encoded_at_once(monkeypatch):
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    from geodiag.model import GEOM
+
+    kind = to_arrow_type(_parse_datatype_string(GEOM))
+    point = lambda x, y: {"gtype": "Point", "parts": [{"kind": "point", "rings": [[{"x": x, "y": y}]]}]}
+    line = {"gtype": "LineString", "parts": [{"kind": "line", "rings": [[{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 3.0}]]}]}
+    one = geoparquet.encode
+    for rows in ([point(1.0, 2.0), None, point(-3.5, -0.0)], [None], [], [point(1.0, 2.0), line], [point(1.0, 2.0), {"gtype": "Point", "parts": []}]):
+        want = [one(x) for x in rows]
+        assert geoparquet.encode_all(pa.array(rows, kind)).to_pylist() == want and geoparquet.encode_all(pa.array(rows, kind).slice(1)).to_pylist() == want[1:]
+    # none of its own
+    monkeypatch.setattr(geoparquet, "encode", None)
+    assert geoparquet.encode_all(pa.array([point(1.0, 2.0), None], kind)).to_pylist() == [one(point(1.0, 2.0)), None]
