@@ -9,14 +9,15 @@ Texts with equal shingle sets are one class. In each bucket, candidate edges for
 the class with the most bucket fellows, and further stars around other members join what is
 still apart, until a round links nothing new; so a bucket of m classes gives O(m) pairs in a
 round. At last, classes outside of their bucket's largest component meet all of the bucket that are
-in other components, so that no pair of different components is left out. Every link is
-confirmed on full shingle sets.
+in other components, so that no pair of different components is left out: those with too many shingles of
+their own for any link go first, the others are compared in blocks. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ BINS = 256
 _SHIFT = U64(64 - 8)
 #: chance to miss a pair at the threshold itself
 MISS = 1e-5
+#: classes of each side of a block in which all pairs are compared
+BLOCK = 256
 
 
 def plan_bands(percent: int) -> tuple[int, int]:
@@ -198,21 +201,87 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         discard(links)
         discard(new)
         links = grown
-    new = materialize(_confirmed(_rest(members, links, near), sets, percent, merge=True), "rest")
-    return links.unionByName(new)
+    return links.unionByName(materialize(_rest(members, links, sets, percent), "rest"))
 
 
-def _rest(members: DataFrame, links: DataFrame, near) -> DataFrame:
-    """Pairs of one bucket in different components, but for those within the bucket's largest one."""
+def _own(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, own``: how many of its shingles no other of ``reps`` has; those with several sets have no row."""
+    once = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times = 1").select(F.col("doc_id").alias("rep"))
+    # 32 bits tell a shingle: two that fall together count as shared, which only makes ``own`` smaller
+    words = sets.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.explode("shingles").alias("shingle")).select("rep", F.hash("shingle").alias("half"))
+    alone = words.groupBy("half").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).where("times = 1")
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(once, "rep")
+
+
+def _rest(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between pairs of one bucket in different components, but for those within the bucket's largest one.
+
+    A class shares with another at most the shingles that aren't its own alone. Where that is too few for the
+    smallest set of the bucket, it has no link there and goes. The others of a bucket are dealt to blocks, of
+    :data:`BLOCK` classes outside of the largest component by :data:`BLOCK` of all, and compared in them, so that rows grow
+    with a bucket's classes times its blocks and a task holds one block.
+    """
     held = members.join(connected_components(links), F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     held = materialize(held, "held")
-    main = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    open_ = materialize(held.join(main, "key").select("key", "rep", "n", "comp", F.col("m.comp").alias("main")), "open")
+    main = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.min("least").alias("least")).where("comps > 1")
+    open_ = materialize(held.join(main, "key").select("key", "rep", "n", "comp", (F.col("comp") != F.col("m.comp")).alias("outer"), "least"), "open")
     discard(held)
-    outer = open_.where("comp <> main").select("key", F.struct("rep", "n", "comp").alias("c"))
-    apart = (F.col("comp") != F.col("c.comp")) & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("c.rep")))
-    met = open_.join(outer, "key").where(apart & near(F.col("n"), F.col("c.n")))
-    return met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+    own = _own(open_.select("rep").distinct(), sets)
+    live = open_.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    live = materialize(live.where((100 + percent) * F.col("most") >= percent * (F.col("n") + F.col("least"))).select("key", "rep", "comp", "outer", "most", (F.col("n") - F.col("most")).alias("own")), "live")
+    discard(open_)
+    sizes = live.groupBy("key").agg(F.ceil(F.count_if("outer") / BLOCK).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("across")).where("down > 0")
+    lot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = live.join(sizes, "key")
+    named = ["key", "rep", "comp", "outer", "own"]
+    dealt = met.where("outer").select(*named, F.lit(True).alias("left"), lot(F.col("down")).alias("i"), each("across").alias("j"))
+    dealt = dealt.unionByName(met.select(*named, F.lit(False).alias("left"), each("down").alias("i"), lot(F.col("across")).alias("j")))
+    dealt = dealt.join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches):
+        now, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tag = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((tag[1:] != tag[:-1]).any(axis=1)) + 1).tolist(), len(tag)]
+            for a, b in zip(cuts, cuts[1:]):
+                if now is not None and tuple(tag[a]) != now:
+                    yield _linked(pa.Table.from_batches(rows).combine_chunks(), percent)
+                    rows = []
+                now = tuple(tag[a])
+                rows.append(batch.slice(a, b - a))
+        if rows:
+            yield _linked(pa.Table.from_batches(rows).combine_chunks(), percent)
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _linked(block: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of a left and a right row of a block, of different components, whose sets reach the threshold."""
+    rep, comp, own = (np.asarray(block[c]).astype(np.int64) for c in ("rep", "comp", "own"))
+    left, outer = (np.asarray(block[c]).astype(bool) for c in ("left", "outer"))
+    lists = block["shingles"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    begin = np.cumsum(n) - n
+    _, token = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    right = np.flatnonzero(~left & (n > 0))
+    out: list[tuple[int, int]] = []
+    for x in np.flatnonzero(left & (n > 0)).tolist():
+        # two outer classes meet once; shared are at most what isn't a set's own alone
+        y = right[(comp[right] != comp[x]) & (~outer[right] | (rep[x] < rep[right]))]
+        most = np.minimum(n[x] - own[x], n[y] - own[y])
+        y = y[(100 + percent) * most >= percent * (n[x] + n[y])]
+        if not len(y):
+            continue
+        has = np.zeros(int(token.max()) + 1, np.int64)
+        has[token[begin[x] : begin[x] + n[x]]] = 1
+        at = np.arange(n[y].sum()) + np.repeat(begin[y] - np.cumsum(n[y]) + n[y], n[y])
+        both = np.add.reduceat(has[token[at]], np.cumsum(n[y]) - n[y])
+        out += [(min(r, int(rep[x])), max(r, int(rep[x]))) for r in rep[y[(100 + percent) * both >= percent * (n[x] + n[y])]].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from geodiag.llm import minhash
 from geodiag.llm.components import connected_components
 from geodiag.llm.embeddings import link_vectors, plan_tables
 from geodiag.llm.minhash import BINS, _star_links, band_keys, densify, near_duplicates, plan_bands
@@ -122,3 +123,25 @@ def test_no_vectors(spark):
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     bits, tables = plan_tables(10**6, 0.95)
     assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 1e-4
+
+
+def test_pairs_left_apart_are_compared_in_blocks(spark, monkeypatch):
+    """Near copies just below the threshold, in one bucket: each link that no star has is found, and no row is made for a pair."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(12)
+    base, sets = list(range(100)), {}
+    for i in range(60):  # 12 of 100 replaced, so two have 79 or so of 121 in common
+        gone = set(r.sample(base, 12))
+        sets[i] = [x for x in base if x not in gone] + [1000 * (i + 1) + k for k in range(12)]
+    for i in range(60, 70):  # and ten that link with one of them each
+        sets[i] = [*sets[i - 40][:-5], *(10**6 + 10 * i + k for k in range(5))]
+    sets[70], sets[71] = [1, 2], [*range(5000, 5100)]
+    rows = spark.createDataFrame([(1, i, len(x)) for i, x in sets.items()], "key long, rep long, n long")
+    # a document with two sets has none that is its own alone
+    table = spark.createDataFrame([*sets.items(), (71, sets[40])], "doc_id long, shingles array<long>")
+    none = spark.createDataFrame([(0, 1)], "a long, b long")
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    want |= {(a, 71) for a in sets if a != 71 and 100 * len(set(sets[a]) & set(sets[40])) >= 85 * len(set(sets[a]) | set(sets[40]))}
+    want -= {(0, 1)}
+    found = minhash._rest(rows, none, table, 85)
+    assert len(want) > 10 and {(x.a, x.b) for x in found.collect()} == want
