@@ -180,6 +180,22 @@ def test_packed_occurrences_come_back():
         assert (got.hash == h).all() and all((a == b[some]).all() for a, b in zip(got.places(some), (ids[row], pos, free)))
 
 
+def test_second_round_has_as_many_ranges_as_its_words_ask_for(spark, monkeypatch):
+    """Few words travel in one range of each partition, not in rows of a few hashes each; the passages are the same with many."""
+    texts, _ = planted()
+    made, meet = [], substrings._meetings
+
+    def noted(rows, occurrences, spread=substrings.SPREAD):
+        made.append(spread)
+        return meet(rows, occurrences, spread)
+
+    monkeypatch.setattr(substrings, "_meetings", noted)
+    one = set(substrings.shared_passages(docs(spark, texts)).collect())
+    monkeypatch.setattr(substrings, "HELD", 10)
+    assert set(substrings.shared_passages(docs(spark, texts)).collect()) == one and one
+    assert made[1] == 1 and made[3] > 4 and made[0] == made[2] == substrings.SPREAD
+
+
 def test_long_shingles_are_equal_where_words_are():
     r = np.random.default_rng(2)
     h = r.integers(0, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
