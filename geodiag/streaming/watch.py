@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
+from itertools import chain, islice
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,11 @@ from geodiag.sources.geoparquet import open_folder
 
 RESULTS = "path string, findings long, overall int, grade string, checked timestamp"
 CHANGES = "path string, checked timestamp, event string, findings long, overall int, grade string, previous int, change int, checks long"
+TOLD = CHANGES.replace("checked timestamp", "at long")
 #: files of a batch that are checked at once, and results that are written at once
 AT_ONCE, BLOCK = 4, 64
+#: groups of files by their paths' hashes; a checkpoint holds for one number
+GROUPS = 1 << 14
 
 
 class _Changes(SimpleDataSourceStreamReader):
@@ -112,10 +116,12 @@ def watch(spark: SparkSession, folder: str, results: str, checkpoint: str, confi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-class LastScore(StatefulProcessor):
-    """A file's last score as state, times in microseconds. After ``silence_ms`` without a check it is asked whether the file is still there.
+class LastScores(StatefulProcessor):
+    """The last scores of a group of files as state, times in microseconds. After ``silence_ms`` without a check a file is asked whether it is still there.
 
-    A file has one timer, which checks don't touch: when it fires before the silence is over, it is set anew.
+    Each call of the state goes from the worker to the JVM and back, which costs more than a file's checks; so files share
+    the calls in groups, whose rows come as columns, and a group has one timer, for the first of its files that is due. A file's own time is left as it is by
+    checks: when it comes before the silence is over, it is set anew.
     """
 
     def __init__(self, silence_ms: int):
@@ -123,36 +129,74 @@ class LastScore(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "overall int, grade string, findings long, at long, checks long")
+        # due, timer: milliseconds
+        self.last = handle.getValueState("last", "files array<struct<path:string,overall:int,grade:string,findings:long,at:long,checks:long,due:long>>, timer long")
+
+    def _known(self) -> tuple[dict[str, tuple], int | None]:
+        state = self.last.get()
+        return ({f[0]: tuple(f)[1:] for f in state[0]}, state[1]) if state is not None else ({}, None)
+
+    def _keep(self, files: dict[str, tuple], timer: int | None) -> None:
+        """``timer``: the one that is set."""
+        if not files:
+            self.last.clear()
+            return
+        due = min(f[-1] for f in files.values())
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.last.update(([(p, *f) for p, f in files.items()], timer))
+
+    @staticmethod
+    def _told(out: list[tuple]) -> Iterator[pd.DataFrame]:
+        # objects, as numbers may be null
+        return iter([pd.DataFrame(out, columns=[c.split()[0] for c in TOLD.split(", ")], dtype=object)] if out else [])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        known = stored = self.last.get()
+        files, timer = self._known()
+        now = None
         # a batch has a file's checks since the last batch, so few
-        for r in sorted(rows, key=lambda r: (r.at, r.overall, r.findings)):
-            if known is not None and r.at <= known[3]:
+        of = (zip(*(part[c].tolist() for c in ("path", "at", "overall", "findings", "grade"))) for part in rows)
+        for path, at, overall, findings, grade in sorted(chain.from_iterable(of), key=lambda r: r[:4]):
+            known = files.get(path)
+            if known is not None and at <= known[3]:
                 continue  # told again, or overtaken
             before, checks = (None, 0) if known is None else (known[0], known[4])
-            if known is None or (r.overall, r.findings) != (known[0], known[2]):
-                event = "new" if known is None else "better" if (r.overall, -r.findings) > (known[0], -known[2]) else "worse"
-                out.append(Row(path=key[0], at=r.at, event=event, findings=r.findings, overall=r.overall, grade=r.grade, previous=before, change=None if before is None else r.overall - before, checks=checks + 1))
-            known = (r.overall, r.grade, r.findings, r.at, checks + 1)
-        self.last.update(tuple(known))
-        if stored is None:
-            self.handle.registerTimer(max(known[3] // 1000, timerValues.getCurrentWatermarkInMs()) + self.silence_ms)
-        return iter(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, due = timerValues.getCurrentWatermarkInMs(), self.last.get()[3] // 1000 + self.silence_ms
-        if due <= now:
-            where, path = open_folder(key[0])
-            due = now + self.silence_ms if where.get_file_info(path).type != fs.FileType.NotFound else None
-        if due is not None:
-            self.handle.registerTimer(due)
-            return iter([])
-        overall, _, findings, at, checks = self.last.get()
-        self.last.clear()
-        return iter([Row(path=key[0], at=at, event="vanished", findings=findings, overall=None, grade=None, previous=overall, change=None, checks=checks)])
+            if known is None or (overall, findings) != (known[0], known[2]):
+                event = "new" if known is None else "better" if (overall, -findings) > (known[0], -known[2]) else "worse"
+                out.append((path, at, event, findings, overall, grade, before, None if before is None else overall - before, checks + 1))
+            if known is None:
+                now = timerValues.getCurrentWatermarkInMs() if now is None else now
+                due = None
+            else:
+                due = known[5]
+            files[path] = (overall, grade, findings, at, checks + 1, due)
+        for p, f in files.items():
+            if f[5] is None:
+                files[p] = (*f[:5], max(f[3] // 1000, now) + self.silence_ms)
+        self._keep(files, timer)
+        return self._told(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, now = [], timerValues.getCurrentWatermarkInMs()
+        files, _ = self._known()
+        for p, (overall, grade, findings, at, checks, due) in list(files.items()):
+            if due > now:
+                continue
+            due = at // 1000 + self.silence_ms
+            if due <= now:
+                where, path = open_folder(p)
+                due = now + self.silence_ms if where.get_file_info(path).type != fs.FileType.NotFound else None
+            if due is not None:
+                files[p] = (overall, grade, findings, at, checks, due)
+                continue
+            del files[p]
+            out.append((p, at, "vanished", findings, None, None, overall, None, checks))
+        self._keep(files, None)
+        return self._told(out)
 
     def close(self) -> None:
         pass
@@ -173,7 +217,8 @@ def score_changes(results: DataFrame, silence: int = 600, late: str = "1 minute"
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     known = results.where("path is not null and overall is not null and findings is not null and checked is not null").withWatermark("checked", late)
-    told = known.select("path", "findings", "overall", "grade", "checked", F.unix_micros("checked").alias("at")).groupBy("path").transformWithState(LastScore(silence * 1000), CHANGES.replace("checked timestamp", "at long"), "Append", "EventTime")
+    group = F.pmod(F.xxhash64("path"), F.lit(GROUPS)).alias("files")
+    told = known.select(group, "path", "findings", "overall", "grade", "checked", F.unix_micros("checked").alias("at")).groupBy("files").transformWithStateInPandas(LastScores(silence * 1000), TOLD, "Append", "EventTime")
     return told.select("path", F.timestamp_micros("at").alias("checked"), "event", "findings", "overall", "grade", "previous", "change", "checks")
 
 

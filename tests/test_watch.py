@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from geodiag.streaming import watch as streams
 from geodiag.streaming.watch import RESULTS, last_scores, watch, watch_changes
 
 
@@ -100,3 +101,24 @@ def test_checks_of_a_folder_reach_the_changes(spark, tmp_path):
     run()
     last = told(spark, tmp_path).where("event != 'new'").collect()
     assert [(r.path[-9:], r.event, r.previous, r.checks) for r in last] == [("1.geojson", "better", 98, 2)]
+
+
+def test_files_of_one_group_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "GROUPS", 1)
+    paths = [str(tmp_path / f"{n}.geojson") for n in "abc"]
+    for p in paths:
+        open(p, "w").close()
+    a, b, c = paths
+    put(spark, tmp_path, (a, 2, 98, "A", 0), (b, 0, 100, "A", 5), (b, 1, 99, None, 6), (c, 0, 100, "A", 300))
+    assert sorted((r.path, r.event) for r in told(spark, tmp_path).collect()) == [(a, "new"), (b, "new"), (b, "worse"), (c, "new")]
+    # calls of the state go by groups, not by files
+    state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "last").load()
+    assert [len(r.value.files) for r in state.collect()] == [3]
+    # a and b are gone, each is told after its own silence; c stays
+    (tmp_path / "a.geojson").unlink()
+    put(spark, tmp_path, (b, 1, 99, "A", 500), (c, 0, 100, "A", 800))
+    assert [(r.path, r.previous, r.checks) for r in told(spark, tmp_path).where("event = 'vanished'").collect()] == [(a, 98, 1)]
+    (tmp_path / "b.geojson").unlink()
+    put(spark, tmp_path, (c, 0, 100, "A", 1300))
+    gone = told(spark, tmp_path).where("event = 'vanished'")
+    assert {(r.path, r.checked, r.previous, r.checks) for r in gone.collect()} == {(a, at(0), 98, 1), (b, at(500), 99, 3)}
