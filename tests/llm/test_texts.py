@@ -208,6 +208,18 @@ def test_long_shingles_are_equal_where_words_are():
         assert all(len(v) == 1 for v in same.values()) and len({v for s in same.values() for v in s}) == len(same)
 
 
+def test_orders_and_first_occurrences_of_seeds():
+    r = np.random.default_rng(5)
+    for n, most in ((3000, 1 << 48), (3000, 700), (40, 3), (1, 3), (0, 3)):
+        h, doc, pos = r.integers(0, most, n).astype(np.uint64), r.integers(-9, 9, n), r.integers(0, 50, n)
+        want = np.lexsort((pos, doc, h))
+        assert substrings._sorted(h, doc, pos, np.arange(n)).tolist() == want.tolist()
+        order, rdoc, rpos = substrings._firsts(h, doc, pos)
+        head, _ = substrings._star(h[want], doc[want])
+        columns = h[order], doc[order], pos[order], rdoc, rpos
+        assert sorted(zip(*(c.tolist() for c in columns))) == sorted(zip(*(c.tolist() for c in (h[want], doc[want], pos[want], doc[want][head], pos[want][head]))))
+
+
 def test_passages_of_odd_tables(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = docs(spark, [passage, passage, "short", None]).withColumn("cut", F.lit("x")).withColumn("row", F.lit(2)).withColumn("doc", F.lit("y"))
