@@ -34,11 +34,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal texts one stays. Null and empty texts are linked with nothing; an empty table stays empty.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    # the smallest by what can be ordered in any table: the row's JSON text. Rows that differ in nothing of it are equal
-    order = F.struct(F.length("text"), F.to_json(F.struct("*")))
-    one = stay.groupBy(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("same")).agg(F.min_by(F.struct("*"), order).alias("row"))
-    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+    def single(rows: DataFrame) -> DataFrame:
+        # the smallest by what can be ordered in any table: the row's JSON text. Rows that differ in nothing of it are equal
+        order = F.struct(F.length("text"), F.to_json(F.struct("*")))
+        one = rows.groupBy("doc_id", F.sha2("text", 256).alias("same")).agg(F.min_by(F.struct("*"), order).alias("row"))
+        return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+    # rows lie by doc_id after the join and are grouped where they are; a union before would send whole rows once more
+    return single(docs.join(kept, "doc_id", "left_semi")).unionByName(single(docs.where("doc_id is null")))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

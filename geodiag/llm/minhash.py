@@ -154,6 +154,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id", "left_semi")
     sets = materialize(full_sets(sets, k), "sets")
     links = _star_links(members_d, sets, percent)
+    discard(members_d)
+    discard(sets)
     # documents of one set are one class: its smallest doc_id stands for it
     found = connected_components(links)
     labels = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))

@@ -145,3 +145,21 @@ def test_pairs_left_apart_are_compared_in_blocks(spark, monkeypatch):
     want -= {(0, 1)}
     found = minhash._rest(rows, none, table, 85)
     assert len(want) > 10 and {(x.a, x.b) for x in found.collect()} == want
+
+
+def test_near_copies_sends_whole_rows_once(spark):
+    """The kept rows are grouped where the join has put them; no exchange lies above it."""
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words than those above"), (2, "A b c d e f g"), (None, "x y z"), (None, "x y z"), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_copies(spark, docs, "")
+        above = out._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+        assert "Exchange" not in above
+        got = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([(1, "a b c d e f g"), (1, "other words than those above"), (None, "x y z"), (None, None), (3, None)], key=repr)
