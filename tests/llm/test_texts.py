@@ -196,6 +196,24 @@ def test_second_round_has_as_many_ranges_as_its_words_ask_for(spark, monkeypatch
     assert made[1] == 1 and made[3] > 4 and made[0] == made[2] == substrings.SPREAD
 
 
+def test_first_round_has_as_many_ranges_as_its_text_asks_for(spark, monkeypatch):
+    """A range holds so many occurrences whatever the text for a partition; the matches are the same with many."""
+    texts, _ = planted()
+    made, meet = [], substrings._meetings
+
+    def noted(rows, occurrences, spread):
+        made.append(spread)
+        return meet(rows, occurrences, spread)
+
+    monkeypatch.setattr(substrings, "_meetings", noted)
+    few = sorted(substrings.seed_matches(docs(spark, texts), 5).collect())
+    monkeypatch.setattr(substrings, "FIRST", 50)
+    assert sorted(substrings.seed_matches(docs(spark, texts), 5).collect()) == few and few
+    size = sum(len(t.encode()) for t in texts if t)
+    assert made[0] == substrings.SPREAD and made[1] * 4 * 50 >= size // substrings.WORD > (made[1] - 1) * 4 * 50
+    assert substrings._ranges_of(docs(spark, [])) == substrings.SPREAD
+
+
 def test_long_shingles_are_equal_where_words_are():
     r = np.random.default_rng(2)
     h = r.integers(0, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
