@@ -163,3 +163,80 @@ def test_gaps_of_touching_and_disjoint_boxes(spark, monkeypatch):
     assert want == {(1, 2), (0, 3), (1, 3)}
     monkeypatch.setattr(rules, "SMALL", 0)
     assert pairs(rules.candidate_pairs(ctx, 0.01, apart=True)) == every and pairs(rules.boundary_gaps(ctx, 0.01)) == want
+
+
+def scattered(spark, seed, n=90):
+    """Triangles and boxes of very different sizes, some on one another's edges."""
+    import random
+
+    r = random.Random(seed)
+    shapes = []
+    for i in range(n):
+        x, y, w = r.randrange(-6, 6), r.randrange(-6, 6), r.choice((0.05, 0.3, 1, 2, 9))
+        j = lambda: r.choice((0, 0.003, -0.004, 0.02))
+        shapes.append([(x + j(), y + j()), (x + w + j(), y + j()), *([(x + w + j(), y + w + j())] if i % 3 else []), (x + j(), y + w + j())])
+    return dataset(spark, [([[*s, s[0]]], {}) for s in shapes]), shapes
+
+
+def test_clusters_do_not_depend_on_tiles(spark, monkeypatch):
+    data, _ = scattered(spark, 3)
+    points = snap.vertices(data.features)
+    got = lambda: {tuple(m) for m in snap.clusters(points, 0.005).collect()}
+    want = got()
+    monkeypatch.setattr(snap, "TILE", 2)  # so nearly all reach another tile
+    monkeypatch.setattr(snap, "HELD", 1)
+    monkeypatch.setattr(snap, "PAIRS", 1)
+    assert got() == want and len(want) > 20
+
+
+def test_insertions_against_brute_force(spark, monkeypatch):
+    import math
+
+    data, shapes = scattered(spark, 4)
+    users, want, tolerance = {}, set(), 0.01
+    for i, s in enumerate(shapes):
+        for p in s:
+            users.setdefault((float(p[0]), float(p[1])), set()).add(i)
+    for i, s in enumerate(shapes):
+        for pos, (a, b) in enumerate(zip(s, [*s[1:], s[0]])):
+            dx, dy = b[0] - a[0], b[1] - a[1]
+            for p, own in users.items():
+                t = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)
+                if own != {i} and 0 < t < 1 and p not in (a, b) and math.hypot(a[0] + t * dx - p[0], a[1] + t * dy - p[1]) <= tolerance:
+                    want.add((i, pos, p))
+    rows = lambda: [(m.feat_idx, m.pos, (m.x, m.y)) for m in snap.insertions(data.features, snap.vertices(data.features), tolerance).collect()]
+    got = rows()
+    assert set(got) == want and len(got) == len(want) > 50
+    monkeypatch.setattr(snap, "HELD", 1)
+    monkeypatch.setattr(snap, "PAIRS", 1)
+    assert sorted(rows()) == sorted(got)
+
+
+def test_moves_of_arrays_are_those_of_rows(spark, monkeypatch):
+    data, shapes = scattered(spark, 5)
+    moves = spark.createDataFrame([(0, i, [(float(s[0][0]), float(s[0][1]), s[0][0] + 0.5, s[0][1] - 0.25), (float(s[1][0]), float(s[1][1]), float(s[i % 3][0]), float(s[i % 3][1]))]) for i, s in enumerate(shapes) if i % 4], "layer_idx int, feat_idx long, moves array<struct<x:double,y:double,tx:double,ty:double>>")
+    got = {r.feat_idx: r.geom for r in snap._apply(data.features, moves, "moves").collect()}
+    monkeypatch.setattr(snap, "_moved", lambda geom, moves: None)
+    assert got == {r.feat_idx: r.geom for r in snap._apply(data.features, moves, "moves").collect()} and len(got) == len(shapes)
+
+
+def test_edges_are_dealt_few_times(spark, monkeypatch):
+    """Edges aren't cut in pieces and written once for each cell: what is sent grows by tiles, in rows of many edges."""
+    data = dataset(spark, [([box(i, j, i + 1, j + 1)], {}) for i in range(12) for j in range(12)])
+    plan = snap.insertions(data.features, snap.vertices(data.features), 0.001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cx" in plan and "posexplode" not in plan
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import time
+
+    from geodiag.runtime import materialize
+
+    names = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = names()
+    made = materialize(spark.range(50_000).selectExpr("id % 9999 as k").repartition("k").groupBy("k").count(), "made")
+    end = time.time() + 20
+    while names() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not names() - before and made.count() == 9999
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
