@@ -240,3 +240,31 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         time.sleep(0.2)
     assert not names() - before and made.count() == 9999
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def gap_of(a, b):
+    """The least distance from a vertex of one ring to an edge of the other."""
+    out = []
+    for s, o in ((a, b), (b, a)):
+        for (px, py), (qx, qy) in zip(o, [*o[1:], o[0]]):
+            dx, dy = qx - px, qy - py
+            for x, y in s:
+                t = max(0.0, min(1.0, ((x - px) * dx + (y - py) * dy) / (dx * dx + dy * dy)))
+                out.append(((px + t * dx - x) ** 2 + (py + t * dy - y) ** 2) ** 0.5)
+    return min(out)
+
+
+def test_gaps_against_brute_force(spark, monkeypatch):
+    """Gaps of scattered shapes, measured in tiles, are those of all pairs; more work at a time or less makes no difference, and no pair is joined to its geometries."""
+    data, shapes = scattered(spark, 6, 60)
+    ctx = CheckContext(data)
+    near = {(r.feat_idx_a, r.feat_idx_b): r for r in rules.candidate_pairs(ctx, 0.01).where(~rules.overlap()).collect()}
+    want = {k: v for k in near if 0 < (v := gap_of(shapes[k[0]], shapes[k[1]])) <= 0.01}
+    found = rules.boundary_gaps(ctx, 0.01)
+    got = {(r.feat_idx_a, r.feat_idx_b): (r.gap, r.label_a, r.label_b, len(r.geom_a.parts[0].rings[0])) for r in found.collect()}
+    assert set(got) == set(want) and len(want) > 10
+    assert all(abs(got[k][0] - want[k]) < 1e-12 and got[k][1:] == (f"#{k[0]}", f"#{k[1]}", len(shapes[k[0]]) + 1) for k in want)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rules, "HELD", 1)
+    monkeypatch.setattr(rules, "PAIRS", 1)
+    assert {(r.feat_idx_a, r.feat_idx_b): r.gap for r in rules.boundary_gaps(ctx, 0.01).collect()} == {k: v[0] for k, v in got.items()}
